@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clausegraph.llm import langid, mixing, pieces, simhash
+from clausegraph.llm import langid, media, mixing, pieces, simhash, tokencount
 
-MODULES = (mixing, pieces, simhash, langid)
+MODULES = (mixing, pieces, tokencount, simhash, langid, media)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
