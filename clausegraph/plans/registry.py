@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from clausegraph.plans import graph_queries, retrieval_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES = retrieval_queries.QUERIES | graph_queries.QUERIES
+SQL = retrieval_queries.SQL | graph_queries.SQL
