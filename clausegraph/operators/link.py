@@ -77,7 +77,7 @@ def mentions(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """src, dst for whole-word, case-sensitive uses of ``terms(id, term, defined_in)``. Nodes and terms meet by the term's
     first word, so no node is compared with every term; the whole term is verified then."""
     words = nodes.select("node_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))).alias("w"))
-    heads = terms.withColumn("w", F.regexp_extract("term", r"(?U)(\w+)", 1))
+    heads = terms.select("id", "term", "defined_in").withColumn("w", F.regexp_extract("term", r"(?U)(\w+)", 1))
     hit = F.expr(r"text rlike concat('(?U)\\b\\Q', term, '\\E\\b')")
     return words.join(heads, "w").where(hit & (F.col("node_id") != F.col("defined_in"))).select(F.col("node_id").alias("src"), F.col("id").alias("dst")).distinct()
 
