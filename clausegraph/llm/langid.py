@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,46 +28,44 @@ WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 LONGEST = 5
 #: Documented bounds of the broadcast model: so many words and so many character n-grams, by training count.
-MAX_WORDS, MAX_GRAMS = 150_000, 150_000
-FLUSH, CACHE = 200_000, 200_000
+MAX_WORDS, MAX_GRAMS = 100_000, 100_000
+FLUSH, CACHE = 150_000, 50_000
 FOLDS = 5
 
 
 def grams(word: str, n: int) -> list[str]:
     padded = f"^{word}$"
-    return [word[i] for i in range(len(word))] if n == 1 else [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return list(word) if n == 1 else [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _emit(counts: Counter, names: tuple[str, str]) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())], names=[*names, "n"])
+def _emit(counts: dict[str, Counter], key: str) -> pa.RecordBatch:
+    langs = [lang for lang, own in counts.items() for _ in own]
+    keys, n = [k for own in counts.values() for k in own], [n for own in counts.values() for n in own.values()]
+    counts.clear()
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["lang", key, "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-            for word, n in Counter(WORD.findall(text.as_py().lower())).items():
-                counts[lang, word] += n
-            if len(counts) > FLUSH:
-                yield _emit(counts, ("lang", "word"))
-                counts.clear()
-    if counts:
-        yield _emit(counts, ("lang", "word"))
+            counts[lang].update(WORD.findall(text.as_py().lower()))
+            if sum(map(len, counts.values())) > FLUSH:
+                yield _emit(counts, "word")
+    yield _emit(counts, "word")
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
+            own = counts[lang]
             for size in range(1, LONGEST + 1):
                 for gram in grams(word, size):
-                    counts[lang, gram] += n
-            if len(counts) > FLUSH:
-                yield _emit(counts, ("lang", "gram"))
-                counts.clear()
-    if counts:
-        yield _emit(counts, ("lang", "gram"))
+                    own[gram] = own.get(gram, 0) + n
+            if len(own) > FLUSH:
+                yield _emit(counts, "gram")
+    yield _emit(counts, "gram")
 
 
 def _table_of(counts: DataFrame, key: str, langs: list[str], top: int) -> tuple[list[str], np.ndarray]:
@@ -82,40 +80,59 @@ class Model:
 
     def __init__(self, langs: list[str], prior: list[float], words: tuple[list[str], np.ndarray], pieces: tuple[list[str], np.ndarray]):
         self.langs, self.prior = langs, np.array(prior)
-        self.rows: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
-        for (keys, counts), into in ((words, self.rows), (pieces, self.grams)):
-            sizes = np.array([0 if into is self.rows else len(k) for k in keys])
+        self.words, self.grams = ({k: i for i, k in enumerate(keys)} for keys, _ in (words, pieces))
+        logs = []
+        for (keys, counts), sizes in ((words, np.zeros(len(words[0]), int)), (pieces, np.array([len(k) for k in pieces[0]], int))):
+            own = np.zeros((len(keys), len(langs)), np.float32)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                total = counts[at].sum(0) + 0.5 * (len(at) + 1)
-                logs = np.log((counts[at] + 0.5) / total)
-                into.update((keys[i], row) for i, row in zip(at, logs, strict=True))
+                own[at] = np.log((counts[at] + 0.5) / (counts[at].sum(0) + 0.5 * (len(at) + 1)))
+            logs.append(own)
+        self.word_logs, self.gram_logs = logs
 
-    def word(self, word: str) -> np.ndarray:
-        if (found := self.rows.get(word)) is not None:
-            return found
+    def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
-            known = [g for x in grams(word, n) if (g := self.grams.get(x)) is not None]
+            known = [i for x in grams(word, n) if (i := self.grams.get(x)) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+                return self.gram_logs[known].mean(0)
+        return np.zeros(len(self.langs), np.float32)
+
+
+class Scorer:
+    """Predictions of one task; remembers the rows of unseen words in a table of at most CACHE words."""
+
+    def __init__(self, model: Model):
+        self.model, self.seen, self.rows = model, {}, np.zeros((CACHE, len(model.langs)), np.float32)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        at = []
+        total = np.zeros(len(self.model.langs))
+        for word in words:
+            i = self.seen.get(word)
+            if i is None:
+                if len(self.seen) >= CACHE:
+                    total += self.rows[at].sum(0, dtype=np.float64)
+                    at = []
+                    self.seen.clear()
+                i = self.seen[word] = len(self.seen)
+                self.rows[i] = self.model.unseen(word)
+            at.append(i)
+        return total + self.rows[at].sum(0, dtype=np.float64)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        model = self.model
         words = WORD.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        if not words or not model.langs:
             return UND, 0.0
-        total = self.prior.copy()
-        for word, n in Counter(words).items():
-            row = cache.get(word)
-            if row is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                row = cache[word] = self.word(word)
-            total += n * row
+        at = list(map(model.words.get, words))
+        total = model.prior.copy()
+        if None in at:
+            total += self._unseen([w for w, i in zip(words, at, strict=True) if i is None])
+            at = [i for i in at if i is not None]
+        total += model.word_logs[at].sum(0, dtype=np.float64)
         weights = np.exp(total - total.max())
         best = int(weights.argmax())
-        return self.langs[best], float(1 / weights.sum())
+        return model.langs[best], float(1 / weights.sum())
 
 
 def fit(train: DataFrame) -> Model:
@@ -137,9 +154,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [shared.value.predict(t.as_py(), cache) for t in batch.column("text")]
+            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), *columns], names=[*out, "lang_pred", "score"])
 

@@ -26,7 +26,7 @@ from clausegraph.llm.runtime import table
 
 MARK = "▁"
 #: Bounds of the tables each Python worker keeps.
-PARTS, PAIRS = 200_000, 400_000
+PARTS, PAIRS = 80_000, 120_000
 
 
 def default_path() -> str:
