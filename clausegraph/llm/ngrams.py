@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from clausegraph.llm.runtime import crc_of, stage, table
 
 FOLDS, HELD = 7, 2
 M2, M3 = 2000.0, 2.0
-BLOCK, SHARD = 1_000_000, 1_000_000
+BLOCK, SHARD = 2_000_000, 2_000_000
 #: Steps of the quantised logarithms: 1 / 4096 of a decimal order.
 SCALE = 4096.0
 #: Local word numbers with a fixed meaning, by a byte string that no word can be.
@@ -144,6 +145,25 @@ def _split(buffer) -> list[np.ndarray]:
     return out
 
 
+def _planes(a: np.ndarray, kind: type = np.uint32) -> np.ndarray:
+    """All first bytes, then all second ones and so on: numbers that are mostly small compress well so."""
+    a = np.ascontiguousarray(a, kind)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).ravel()
+
+
+def _whole(planes: np.ndarray, kind: type = np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def _press(arrays: list[np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(_join(arrays))
+
+
+def _unpress(data: bytes) -> list[np.ndarray]:
+    return _split(zstandard.ZstdDecompressor().decompress(data))
+
+
 # ---------------------------------------------------------------------------------------------------------- trie
 
 
@@ -156,8 +176,9 @@ class Trie:
         words = np.unique(np.concatenate([u, v, w]))
         size = max(len(words), 1)
         ru, rv, rw = (np.searchsorted(words, x) for x in (u, v, w))
-        order = np.lexsort((rw, rv, ru))
-        ru, rv, rw, count = ru[order], rv[order], rw[order], count[order]
+        if len(ru) and (np.diff(ru * size + rv) < 0).any() or ((np.diff(rw) < 0) & (np.diff(ru * size + rv) == 0)).any():
+            order = np.lexsort((rw, rv, ru))
+            ru, rv, rw, count = ru[order], rv[order], rw[order], count[order]
         first, at1 = np.unique(ru, return_inverse=True)
         pair, at2 = np.unique(at1 * size + rv, return_inverse=True)
         totals = np.bincount(at2, count, len(pair))
@@ -226,7 +247,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def emit() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-            row = [pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([sum(s for s, h in zip(sizes, held, strict=True) if not h)], pa.int64()), pa.array([total], pa.int64()), pa.array([hashes.tobytes()]), pa.array([np.concatenate(tokens).tobytes()])]
+            row = [pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([sum(s for s, h in zip(sizes, held, strict=True) if not h)], pa.int64()), pa.array([total], pa.int64()), pa.array([hashes.tobytes()]), pa.array([_press([_planes(np.concatenate(tokens))])])]
             return pa.RecordBatch.from_arrays(row, names=["ids", "held", "sizes", "train", "total", "words", "tokens"])
 
         start()
@@ -255,7 +276,7 @@ class Paths:
     def __init__(self, row: dict, shards: int):
         self.hash = np.frombuffer(row["words"], np.uint64)
         self.sizes, self.train = np.array(row["sizes"], np.int64), ~np.array(row["held"], bool)
-        tokens = np.frombuffer(row["tokens"], np.int32).astype(np.int64)
+        tokens = _whole(_unpress(row["tokens"])[0]).astype(np.int64)
         docs, count = len(self.sizes), len(self.hash)
         ends = np.cumsum(self.sizes)
         self.tokens, self.doc = tokens, np.repeat(np.arange(docs), self.sizes)
@@ -287,15 +308,18 @@ class Paths:
         owner = (self.hash >> np.uint64(40)).astype(np.int64) % shards
         for s in np.unique(owner):
             own = np.flatnonzero(owner == s)
-            yield 0, int(s), _join([self.hash[own], counts[own].astype(np.uint32)])
+            yield 0, int(s), _press([self.hash[own], _planes(counts[own])])
         counts = np.bincount(self.triple_of, self.weight, len(self.at)).astype(np.uint32)
         pair_edges = np.searchsorted(self.shard, np.arange(shards + 1))
         edges = np.searchsorted(self.at, pair_edges)
         for s in np.flatnonzero(np.diff(pair_edges)):
             p, t = slice(*pair_edges[s : s + 2]), slice(*edges[s : s + 2])
-            ids = [self.short[self.u[p]], self.short[self.v[p]], self.short[self.w[t]]]
-            children = np.bincount(self.at[t] - pair_edges[s], minlength=pair_edges[s + 1] - pair_edges[s]).astype(np.uint32)
-            yield 1, int(s), _join([*((x >> np.uint64(8 * i)).astype(k) for x in ids for i, k in ((0, np.uint32), (4, np.uint8))), children, counts[t]])
+            u, v, w = self.u[p], self.v[p], self.w[t]
+            words = np.unique(np.concatenate([u, v, w]))  # the message's own words; pairs come in order of u
+            own = self.short[words]
+            children = np.bincount(self.at[t] - pair_edges[s], minlength=len(u))
+            numbers = [np.bincount(np.searchsorted(words, u), minlength=len(words)), np.searchsorted(words, v), children, np.searchsorted(words, w), counts[t]]
+            yield 1, int(s), _press([own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint8), *map(_planes, numbers)])
 
 
 def _requests(blocks: DataFrame, shards: int) -> DataFrame:
@@ -309,33 +333,35 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def _answer_words(messages: list[bytes]) -> tuple[int, list[bytes]]:
-    parts = [_split(m) for m in messages]
+    parts = [(p[0], _whole(p[1])) for p in map(_unpress, messages)]
     hashes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(back, np.concatenate([p[1] for p in parts]), len(hashes)).astype(np.int64)
     begin = np.uint64(xxhash.xxh64_intdigest(MARKS[BEGIN]))
     different = int(((counts > 0) & (hashes != begin)).sum())
     cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-    return different, [_join([c]) for c in np.split(counts[back], cuts)]
+    return different, [_press([_planes(c, np.int64)]) for c in np.split(counts[back], cuts)]
 
 
 def _answer_paths(messages: list[bytes]) -> list[bytes]:
-    parts = [_split(m) for m in messages]
-    whole = lambda i: np.concatenate([p[i] for p in parts]).astype(np.uint64) | np.concatenate([p[i + 1] for p in parts]).astype(np.uint64) << np.uint64(32)
-    u, v, w = whole(0), whole(2), whole(4)
-    children, counts = np.concatenate([p[6] for p in parts]), np.concatenate([p[7] for p in parts]).astype(np.int64)
+    parts = []
+    for message in messages:
+        low, high, runs, v, children, w, counts = _unpress(message)
+        words = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+        parts.append((np.repeat(words, _whole(runs)), words[_whole(v)], _whole(children), words[_whole(w)], _whole(counts)))
+    u, v, children, w, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     at = np.repeat(np.arange(len(u)), children)
     words = np.unique(np.concatenate([u, v, w]))
     size = len(words)
     pairs, pair_back = np.unique(np.searchsorted(words, u) * size + np.searchsorted(words, v), return_inverse=True)
     triples, back = np.unique(pair_back[at] * size + np.searchsorted(words, w), return_inverse=True)
-    summed = np.bincount(back, counts, len(triples))
+    summed = np.bincount(back, counts, len(triples)).astype(np.int64)
     pu, pv = words[pairs // size], words[pairs % size]
     t_at, t_w = triples // size, words[triples % size]
     seen = summed > 0
     trie = Trie(Trie.build(pu[t_at[seen]], pv[t_at[seen]], t_w[seen], summed[seen]))
     pair_codes, triple_codes = trie.look_up(pu, pv, t_at, t_w)
-    p_cuts, t_cuts = np.cumsum([len(p[0]) for p in parts])[:-1], np.cumsum([len(p[7]) for p in parts])[:-1]
-    return [_join([a, b]) for a, b in zip(np.split(pair_codes[pair_back], p_cuts), np.split(triple_codes[back], t_cuts), strict=True)]
+    p_cuts, t_cuts = np.cumsum([len(p[0]) for p in parts])[:-1], np.cumsum([len(p[3]) for p in parts])[:-1]
+    return [_press([_planes(a, np.uint16), _planes(b, np.uint16)]) for a, b in zip(np.split(pair_codes[pair_back], p_cuts), np.split(triple_codes[back], t_cuts), strict=True)]
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -373,11 +399,11 @@ def _scores(blocks: DataFrame, answers: DataFrame, shards: int, n: int, v: int)
         t_edges = np.searchsorted(paths.at, edges)
         pairs, triples = np.zeros(len(paths.u), np.uint16), np.zeros(len(paths.at), np.uint16)
         for kind, shard, message in messages:
-            got = _split(message)
+            got = _unpress(message)
             if kind == 0:
-                known[owner == shard] = got[0]
+                known[owner == shard] = _whole(got[0], np.int64)
             else:
-                pairs[edges[shard] : edges[shard + 1]], triples[t_edges[shard] : t_edges[shard + 1]] = got
+                pairs[edges[shard] : edges[shard + 1]], triples[t_edges[shard] : t_edges[shard + 1]] = (_whole(g, np.uint16) for g in got)
         tokens, before = paths.tokens, paths.before
         p1 = (known[tokens] + 1) / (n + v + 1)
         frequency = np.where(pairs > 0, 10 ** ((pairs - 1.0) / SCALE), 0.0)
