@@ -37,7 +37,7 @@ from clausegraph.llm.runtime import crc_of, stage, table
 
 FOLDS, HELD = 7, 2
 M2, M3 = 2000.0, 2.0
-BLOCK, SHARD = 2_000_000, 2_000_000
+BLOCK, SHARD = 1_500_000, 1_500_000
 #: Steps of the quantised logarithms: 1 / 4096 of a decimal order.
 SCALE = 4096.0
 #: Local word numbers with a fixed meaning, by a byte string that no word can be.
@@ -349,18 +349,21 @@ def _answer_paths(messages: list[bytes]) -> list[bytes]:
         words = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         parts.append((np.repeat(words, _whole(runs)), words[_whole(v)], _whole(children), words[_whole(w)], _whole(counts)))
     u, v, children, w, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    p_cuts, t_cuts = np.cumsum([len(p[0]) for p in parts])[:-1], np.cumsum([len(p[3]) for p in parts])[:-1]
+    del parts
     at = np.repeat(np.arange(len(u)), children)
     words = np.unique(np.concatenate([u, v, w]))
     size = len(words)
     pairs, pair_back = np.unique(np.searchsorted(words, u) * size + np.searchsorted(words, v), return_inverse=True)
     triples, back = np.unique(pair_back[at] * size + np.searchsorted(words, w), return_inverse=True)
+    del u, v, w, at
     summed = np.bincount(back, counts, len(triples)).astype(np.int64)
     pu, pv = words[pairs // size], words[pairs % size]
     t_at, t_w = triples // size, words[triples % size]
     seen = summed > 0
+    del triples, counts
     trie = Trie(Trie.build(pu[t_at[seen]], pv[t_at[seen]], t_w[seen], summed[seen]))
     pair_codes, triple_codes = trie.look_up(pu, pv, t_at, t_w)
-    p_cuts, t_cuts = np.cumsum([len(p[0]) for p in parts])[:-1], np.cumsum([len(p[3]) for p in parts])[:-1]
     return [_press([_planes(a, np.uint16), _planes(b, np.uint16)]) for a, b in zip(np.split(pair_codes[pair_back], p_cuts), np.split(triple_codes[back], t_cuts), strict=True)]
 
 
