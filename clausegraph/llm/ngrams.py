@@ -49,6 +49,10 @@ ID_BITS = 40
 # ---------------------------------------------------------------------------------------------------- Elias-Fano
 
 
+#: Place of the i-th one in each byte.
+_SELECT = np.array([[*[b for b in range(8) if byte >> b & 1], *[0] * 8][:8] for byte in range(256)])
+
+
 class EliasFano:
     """A monotone sequence of numbers in two bit arrays: low bits side by side, high bits in unary."""
 
@@ -88,9 +92,14 @@ class EliasFano:
         for at in range(0, len(k), 1 << 16):
             w = word[at : at + (1 << 16)]
             inside = np.flatnonzero((w < words) & (k[at : at + (1 << 16)] >= 0))
-            bits = np.unpackbits(self.high[w[inside]], axis=1, bitorder="little") == bit
+            bits = self.high[w[inside]] if bit else ~self.high[w[inside]]
             rank = k[at : at + (1 << 16)][inside] - before[w[inside]]
-            out[at + inside] = w[inside] * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) == (rank + 1)[:, None]).argmax(1)
+            each = np.bitwise_count(bits)
+            upto = np.cumsum(each, axis=1, dtype=np.uint8)
+            byte = (upto > rank[:, None]).argmax(1)
+            row = np.arange(len(byte))
+            left = rank - (upto[row, byte] - each[row, byte])
+            out[at + inside] = w[inside] * 64 + byte * 8 + _SELECT[bits[row, byte], left]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
