@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from clausegraph.llm.runtime import table
 
 MARK = "▁"
-#: Bounds of the tables each Python worker keeps.
-PARTS, PAIRS = 80_000, 120_000
+#: Bounds of the tables each Python worker keeps, in two generations: what is not used again goes with the older one.
+PARTS, PAIRS = 80_000, 150_000
 
 
 def default_path() -> str:
@@ -59,7 +59,9 @@ class Codec:
         whole = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.parts = re.compile(r"[\s\S]+" if whole else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.old_pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.old_known: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merge by definition: always the adjacent pair with the best score, the leftmost of equals."""
@@ -77,8 +79,9 @@ class Codec:
     def stable(self, left: str, right: str) -> bool:
         if (known := self.pairs.get((left, right))) is None:
             if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
+                self.old_pairs, self.pairs = self.pairs, {}
+            known = self.old_pairs.get((left, right))
+            known = self.pairs[left, right] = self.merge(left + right) == [left, right] if known is None else known
         return known
 
     def cut(self, text: str) -> list[str]:
@@ -113,6 +116,9 @@ class Codec:
         return out
 
     def _part(self, part: str) -> tuple[str, int, str]:
+        if (done := self.old_known.get(part)) is not None:
+            self.known[part] = done
+            return done
         ids: list[int] = []
         for piece in self.cut(part):
             if (i := self.ids.get(piece)) is not None:
@@ -122,7 +128,7 @@ class Codec:
             else:
                 ids.append(self.unknown)
         if len(self.known) >= PARTS:
-            self.known.clear()
+            self.old_known, self.known = self.known, {}
         done = (" ".join(map(str, ids)), len(ids), self.plain(ids))
         if len(part) <= 64:
             self.known[part] = done
@@ -150,8 +156,7 @@ class Codec:
     def encode_parts(self, text: str) -> list[tuple[str, int, str]]:
         if not text:
             return []
-        known = self.known
-        return [known.get(p) or self._part(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
+        return [self.known.get(p) or self._part(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
 
     def encode(self, text: str) -> list[int]:
         return [*(int(i) for p in self.encode_parts(text) for i in p[0].split()), self.end]
