@@ -3,7 +3,7 @@
 A merge encoding is the only cut of a text into pieces in which every adjacent pair is stable: merging the pair's
 characters again gives the same two pieces. So the encoder takes the longest piece that starts at a position (all
 matches come from one Aho-Corasick pass), checks it against the piece before by re-merging that pair (remembered per
-pair), tries shorter pieces, and steps back when none fits; a bitfield holds positions from which no cut exists, so
+pair), tries the next shorter piece that it begins with, and steps back when none fits; a bitfield holds positions from which no cut exists, so
 that none is tried twice. Characters without a piece become byte pieces.
 
 Pieces never contain a space mark after another character (checked when the model is loaded), and characters that
@@ -15,6 +15,8 @@ rows get equal results; texts of any length are encoded whole; other columns are
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from clausegraph.llm.runtime import table
 
 MARK = "▁"
 #: Bounds of the tables each Python worker keeps, in two generations: what is not used again goes with the older one.
-PARTS, PAIRS = 80_000, 150_000
+PARTS, PAIRS = 150_000, 250_000
 
 
 def default_path() -> str:
@@ -54,6 +56,10 @@ class Codec:
         for piece in self.ids:
             self.found.add_word(piece, len(piece))
         self.found.make_automaton()
+        #: Length of the longest piece that a piece begins with; 1 if there is none.
+        self.shorter = {p: next((n for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), 1) for p in self.ids if len(p) > 1}
+        self.name = list(map(str, range(len(self.pieces))))
+        self.surface = [None if i in special else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         whole = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -66,76 +72,78 @@ class Codec:
     def merge(self, text: str) -> list[str]:
         """Merge by definition: always the adjacent pair with the best score, the leftmost of equals."""
         parts, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
+        worst = -math.inf
+        made = [score.get(a + b, worst) for a, b in itertools.pairwise(parts)]  # score of each adjacent pair's merge
+        while made and (best := max(made)) > worst:
+            at = made.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del made[at]
+            if at:
+                made[at - 1] = score.get(parts[at - 1] + parts[at], worst)
+            if at < len(made):
+                made[at] = score.get(parts[at] + parts[at + 1], worst)
+        return parts
 
     def stable(self, left: str, right: str) -> bool:
-        if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) >= PAIRS:
-                self.old_pairs, self.pairs = self.pairs, {}
-            known = self.old_pairs.get((left, right))
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right] if known is None else known
+        """Whether merging the two pieces' characters again gives the two; remembered in ``pairs``."""
+        if len(self.pairs) >= PAIRS:
+            self.old_pairs = self.pairs.copy()
+            self.pairs.clear()
+        known = self.old_pairs.get((left, right))
+        known = self.pairs[left, right] = self.merge(left + right) == [left, right] if known is None else known
         return known
 
     def cut(self, text: str) -> list[str]:
         """The merge encoding of ``text`` as strings, by backtracking."""
         if text in self.ids and self.merge(text) == [text]:
             return [text]
-        size = len(text)
-        lengths: list[list[int]] = [[] for _ in range(size)]
-        for last, length in self.found.iter(text):
-            lengths[last + 1 - length].append(length)  # ends ascend, so lengths of a start ascend
-        failed = bytearray(size // 8 + 1)
+        size, shorter, stable = len(text), self.shorter, self.stable
+        known = self.pairs.get
+        longest = {last + 1 - length: length for last, length in self.found.iter(text)}  # ends ascend: the longest stays
+        failed: bytearray | None = None
         out: list[str] = []
-        tried: list[int] = []
-        at, option = 0, None
+        at, left, length = 0, "", longest.get(0, 1)
         while at < size:
-            options = lengths[at] if lengths[at][:1] == [1] else [1, *lengths[at]]
-            option = len(options) - 1 if option is None else option
-            while option >= 0:
-                end = at + options[option]
-                piece = text[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.stable(out[-1], piece)):
-                    break
-                option -= 1
-            if option >= 0:
+            while length:
+                piece = text[at : at + length]
+                end = at + length
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fits = not left or known((left, piece))
+                    if fits or fits is None and stable(left, piece):
+                        break
+                length = shorter.get(piece, 0)
+            if length:
                 out.append(piece)
-                tried.append(option)
-                at, option = end, None
+                at, left = end, piece
+                length = longest.get(at, 1)
             else:
+                failed = failed or bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                option = tried.pop() - 1
+                back = out.pop()
+                at -= len(back)
+                left = out[-1] if out else ""
+                length = shorter.get(back, 0)
         return out
 
     def _part(self, part: str) -> tuple[str, int, str]:
         if (done := self.old_known.get(part)) is not None:
             self.known[part] = done
             return done
-        ids: list[int] = []
-        for piece in self.cut(part):
-            if (i := self.ids.get(piece)) is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
+        cut = self.cut(part)
+        ids = list(map(self.ids.get, cut))
+        if None in ids:
+            ids = [j for piece, i in zip(cut, ids, strict=True) for j in ([i] if i is not None else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown])]
         if len(self.known) >= PARTS:
             self.old_known, self.known = self.known, {}
-        done = (" ".join(map(str, ids)), len(ids), self.plain(ids))
+        done = (" ".join([self.name[i] for i in ids]), len(ids), self.plain(ids))
         if len(part) <= 64:
             self.known[part] = done
         return done
 
     def plain(self, ids: list[int]) -> str:
         """Surface text of ids, with its leading space mark still there as a space."""
+        if None not in (found := [self.surface[i] for i in ids]):
+            return "".join(found)
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
