@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import crc_of, stage, table
+from clausegraph.llm.runtime import crc_of, release, stage, table
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -46,6 +46,7 @@ def _emit(counts: dict[str, Counter], key: str) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
@@ -56,6 +57,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
@@ -154,6 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column("text")]

@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegraph.llm.runtime import table
+from clausegraph.llm.runtime import held, table
 
 MARK = "▁"
 #: Bounds of the tables each Python worker keeps, in two generations: what is not used again goes with the older one.
@@ -58,6 +58,7 @@ class Codec:
         self.found.make_automaton()
         #: Length of the longest piece that a piece begins with; 1 if there is none.
         self.shorter = {p: next((n for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), 1) for p in self.ids if len(p) > 1}
+        self.same = {p: p for p in self.ids}
         self.name = list(map(str, range(len(self.pieces))))
         self.surface = [None if i in special else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
         joined = {c for p in self.ids if len(p) > 1 for c in p}
@@ -90,7 +91,8 @@ class Codec:
             self.old_pairs = self.pairs.copy()
             self.pairs.clear()
         known = self.old_pairs.get((left, right))
-        known = self.pairs[left, right] = self.merge(left + right) == [left, right] if known is None else known
+        key = self.same.get(left, left), self.same.get(right, right)  # no copies of the pieces' strings
+        known = self.pairs[key] = self.merge(left + right) == [left, right] if known is None else known
         return known
 
     def cut(self, text: str) -> list[str]:
@@ -170,14 +172,9 @@ class Codec:
         return [*(int(i) for p in self.encode_parts(text) for i in p[0].split()), self.end]
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec per Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+_held: dict = {}
+
+
+def held(key: tuple, build: Callable[[], Any]) -> Any:
+    """The one model that a Python worker keeps between tasks; asking for another drops it."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop the kept model; for tasks that bring large tables of their own."""
+    _held.clear()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own temporary one where it is unset."""
     sc = spark.sparkContext

@@ -1,11 +1,12 @@
 """Token counts without ids: count the pieces of each distinct pre-token once and join them to the frequencies.
 
 1. Texts are normalised and cut into pre-tokens exactly as the tokenizer does (its own normalizer; its split pattern
-   and the strings of its special tokens are read from the file). Distinct pre-tokens and their frequencies are
-   summed over the corpus; each is then counted once with the tokenizer's merge model.
-2. The HEAD most frequent pre-tokens (a fixed bound) are broadcast and summed while texts are read again; all other
-   pre-tokens of a text leave as (row, pre-token, frequency) and meet their counts in a shuffled join, so the
-   vocabulary may grow without bound. Frequencies are summed per row before that shuffle.
+   and the strings of its special tokens are read from the file), once. Documents are gathered in blocks of about BLOCK
+   pre-tokens, each with a list of its different pre-tokens and, per document, their numbers in that list.
+2. The different pre-tokens of all blocks are made distinct, and each is counted once with the tokenizer's merge model.
+3. Blocks' lists meet the counts in a join: the HEAD pre-tokens of most blocks (a fixed bound) by broadcast, all others
+   shuffled, so the vocabulary may grow without bound. A block's counts come back to it in the order of its list, and
+   its documents' frequencies are summed with them.
 
 Defined results: null text counts as empty: 0 bytes, 0 tokens. Repeated rows (also of one doc_id) keep a row each. A
 special token's string inside a text is one token, as the library's default has it. Extra columns are ignored.
@@ -14,19 +15,24 @@ special token's string inside a text is one token, as the library's default has
 from __future__ import annotations
 
 import json
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import stage, table
+from clausegraph.llm.runtime import held, stage, table
 
-HEAD = 50_000
+#: So many pre-tokens, of so many characters at most, are broadcast.
+HEAD, HEAD_LENGTH = 50_000, 64
 LIMIT = 2048
-FLUSH = 150_000
+#: A block ends with so many pre-tokens, or so many different ones.
+BLOCK, DIFFERENT = 2_000_000, 250_000
 
 
 def default_path() -> str:
@@ -71,73 +77,97 @@ class Cutter:
         return sum(len(self.lib.model.tokenize(part)) for part, _ in self.byte_level.pre_tokenize_str(pretoken))
 
 
-_cutters: dict[str, Cutter] = {}
+def cutter(path: str) -> Cutter:
+    return held(("cutter", path), lambda: Cutter(path))
 
 
-def cutter(path: str) -> Cutter:
-    if path not in _cutters:
-        _cutters[path] = Cutter(path)
-    return _cutters[path]
+class _Numbers(dict):
+    def __missing__(self, pretoken: str) -> int:
+        n = self[pretoken] = len(self)
+        return n
 
 
-def distinct_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """pretoken, n (frequency in the corpus), pieces: every distinct pre-token once."""
+def _blocks(docs: DataFrame, path: str) -> DataFrame:
+    """Per block: its different pre-tokens, and of each document id, bytes, special tokens, and pre-tokens by number."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = cutter(path), Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, numbers, ids, rows, numbered = cutter(path), _Numbers(), [], [], array("i")
 
         def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())], names=["pretoken", "n"])
-            counts.clear()
-            return out
+            n_bytes, special, lengths = zip(*rows, strict=True)
+            packed = zstandard.ZstdCompressor(level=1).compress(numbered.tobytes())
+            made = [pa.array([ids], pa.list_(kind)), *(pa.array([x], pa.list_(pa.int64())) for x in (n_bytes, special, lengths)), pa.array([packed], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(made, names=["ids", "n_bytes", "special", "lengths", "numbered", "pretokens"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                if value := text.as_py():
-                    counts.update(own.cut(value)[1])
-                    if len(counts) > FLUSH:
-                        yield emit()
-        yield emit()
+            kind = batch.column("doc_id").type
+            texts = batch.column("text")
+            for doc_id, text, size in zip(batch.column("doc_id").to_pylist(), texts, pc.binary_length(texts).to_pylist(), strict=True):
+                special, pre = own.cut(text.as_py() or "")
+                numbered.extend(map(numbers.__getitem__, pre))
+                ids.append(doc_id)
+                rows.append((size or 0, special, len(pre)))
+                if len(numbered) >= BLOCK or len(numbers) >= DIFFERENT:
+                    yield emit()
+                    numbers, ids, rows, numbered = _Numbers(), [], [], array("i")
+        if ids:
+            yield emit()
+
+    schema = f"ids array<{id_type}>, n_bytes array<long>, special array<long>, lengths array<long>, numbered binary, pretokens array<string>"
+    return stage(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()))
+
+
+def distinct_pieces(lists: DataFrame, path: str) -> DataFrame:
+    """pretoken, n (blocks that have it), pieces: every distinct pre-token once."""
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = cutter(path)
         for batch in batches:
             n = [own.pieces(p) for p in batch.column("pretoken").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array(n, pa.int64())], names=["pretoken", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array(n, pa.int32())], names=["pretoken", "n", "pieces"])
 
-    summed = docs.select("text").mapInArrow(count, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    return stage(summed.mapInArrow(tokenize, "pretoken string, n long, pieces long"))
+    summed = lists.groupBy("pretoken").agg(F.count("*").alias("n"))
+    return stage(summed.mapInArrow(tokenize, "pretoken string, n long, pieces int"))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, n_bytes, n_tokens; one row per input row."""
     path = path or default_path()
-    pieces = distinct_pieces(docs, path)
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", "pieces").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    source = docs.select("doc_id", "text")
-    tail_type = pa.list_(pa.struct([("p", pa.string()), ("f", pa.int64())]))
+    blocks = _blocks(docs, path)
+    lists = blocks.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
+    pieces = distinct_pieces(lists, path)
+    # A block names a pre-token once, so one block's pre-tokens have nothing to gain from the broadcast.
+    top = stage(pieces.where(f"n > 1 AND length(pretoken) <= {HEAD_LENGTH}").orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", F.col("pieces").alias("top_pieces")))
+    met = lists.join(F.broadcast(top), "pretoken", "left")
+    rest = met.where("top_pieces IS NULL").join(pieces.select("pretoken", "pieces"), "pretoken").select("block", "at", "pieces")
+    answers = met.where("top_pieces IS NOT NULL").select("block", "at", F.col("top_pieces").alias("pieces")).unionByName(rest)
+    heads = blocks.drop("pretokens").withColumns({"at": F.lit(-1), "pieces": F.lit(0)})
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def counted(block: dict, found: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        numbered = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["numbered"]), np.int32)
+        sums = np.r_[0, np.cumsum(np.concatenate(found)[numbered], dtype=np.int64)] if len(numbered) else np.zeros(1, np.int64)
+        lengths = np.array(block["lengths"])
+        ends = np.cumsum(lengths)
+        tokens = sums[ends] - sums[ends - lengths] + np.array(block["special"])
+        return pa.RecordBatch.from_arrays([pa.array(block["ids"], kind), pa.array(block["n_bytes"], pa.int64()), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = cutter(path), shared.value
+        block, found, kind = None, [], None
         for batch in batches:
-            sizes, sums, tails = [], [], []
-            for text in batch.column("text"):
-                value = text.as_py() or ""
-                special, pre = own.cut(value)
-                got = list(map(known.get, pre))
-                tail = Counter(p for p, g in zip(pre, got, strict=True) if g is None) if None in got else None
-                sizes.append(len(value.encode()))
-                sums.append(special + sum(g for g in got if g is not None))
-                tails.append([{"p": p, "f": f} for p, f in tail.items()] if tail else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(tails, tail_type)], names=["doc_id", "n_bytes", "known", "tail"])
-
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    counted = stage(source.mapInArrow(run, f"doc_id {id_type}, n_bytes long, known long, tail array<struct<p:string,f:bigint>>").withColumn("row", F.monotonically_increasing_id()))
-    tail = counted.where("tail IS NOT NULL").select("row", F.explode("tail").alias("t")).select("row", F.col("t.p").alias("pretoken"), "t.f")
-    rest = tail.join(pieces.select("pretoken", "pieces"), "pretoken").groupBy("row").agg(F.sum(F.col("f") * F.col("pieces")).alias("rest"))
-    out = counted.drop("tail").join(rest, "row", "left")
-    return out.select("doc_id", "n_bytes", (F.col("known") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
+            kind, at, counts = batch.schema.field("ids").type.value_type, 0, batch.column("pieces").to_numpy()
+            for begin in np.flatnonzero(batch.column("at").to_numpy() < 0).tolist():
+                found.append(counts[at:begin])
+                if block is not None:
+                    yield counted(block, found, kind)
+                block, found, at = batch.slice(begin, 1).to_pylist()[0], [], begin + 1
+            found.append(counts[at:])
+        if block is not None:
+            yield counted(block, found, kind)
+
+    sent = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
+    return sent.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
