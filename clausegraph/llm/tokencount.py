@@ -3,10 +3,10 @@
 1. Texts are normalised and cut into pre-tokens exactly as the tokenizer does (its own normalizer; its split pattern
    and the strings of its special tokens are read from the file), once. Documents are gathered in blocks of about BLOCK
    pre-tokens, each with a list of its different pre-tokens and, per document, their numbers in that list.
-2. The different pre-tokens of all blocks are made distinct, and each is counted once with the tokenizer's merge model.
-3. Blocks' lists meet the counts in a join: the HEAD pre-tokens of most blocks (a fixed bound) by broadcast, all others
-   shuffled, so the vocabulary may grow without bound. A block's counts come back to it in the order of its list, and
-   its documents' frequencies are summed with them.
+2. A block sends to each shard (a hash range of about SHARD entries) its different pre-tokens in one compressed message.
+   The shard's task counts each pre-token once with the tokenizer's merge model and answers messages one by one.
+3. A block's answers come back to it, and the frequencies of its documents are summed with them. A block names a
+   pre-token once, so none is hot; shards grow in number with the corpus, not in size; nothing is broadcast.
 
 Defined results: null text counts as empty: 0 bytes, 0 tokens. Repeated rows (also of one doc_id) keep a row each. A
 special token's string inside a text is one token, as the library's default has it. Extra columns are ignored.
@@ -22,17 +22,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.llm.runtime import held, stage, table
 
-#: So many pre-tokens, of so many characters at most, are broadcast.
-HEAD, HEAD_LENGTH = 50_000, 64
 LIMIT = 2048
 #: A block ends with so many pre-tokens, or so many different ones.
 BLOCK, DIFFERENT = 2_000_000, 250_000
+#: Entries of blocks' lists that a shard gets; different pre-tokens are at most as many.
+SHARD = 250_000
 
 
 def default_path() -> str:
@@ -97,8 +98,8 @@ def _blocks(docs: DataFrame, path: str) -> DataFrame:
         def emit() -> pa.RecordBatch:
             n_bytes, special, lengths = zip(*rows, strict=True)
             packed = zstandard.ZstdCompressor(level=1).compress(numbered.tobytes())
-            made = [pa.array([ids], pa.list_(kind)), *(pa.array([x], pa.list_(pa.int64())) for x in (n_bytes, special, lengths)), pa.array([packed], pa.binary()), pa.array([list(numbers)], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(made, names=["ids", "n_bytes", "special", "lengths", "numbered", "pretokens"])
+            made = [pa.array([ids], pa.list_(kind)), *(pa.array([x], pa.list_(pa.int64())) for x in (n_bytes, special, lengths)), pa.array([packed], pa.binary()), pa.array([len(numbers)], pa.int64()), pa.array([list(numbers)], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(made, names=["ids", "n_bytes", "special", "lengths", "numbered", "different", "pretokens"])
 
         for batch in batches:
             kind = batch.column("doc_id").type
@@ -114,59 +115,92 @@ def _blocks(docs: DataFrame, path: str) -> DataFrame:
         if ids:
             yield emit()
 
-    schema = f"ids array<{id_type}>, n_bytes array<long>, special array<long>, lengths array<long>, numbered binary, pretokens array<string>"
+    schema = f"ids array<{id_type}>, n_bytes array<long>, special array<long>, lengths array<long>, numbered binary, different long, pretokens array<string>"
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()))
 
 
-def distinct_pieces(lists: DataFrame, path: str) -> DataFrame:
-    """pretoken, n (blocks that have it), pieces: every distinct pre-token once."""
+def _order(pretokens: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a list by shard, and where each shard begins and ends in that order."""
+    shard = np.fromiter(map(xxhash.xxh64_intdigest, pretokens), np.uint64, len(pretokens)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cutter(path)
+
+def _requests(blocks: DataFrame, shards: int) -> DataFrame:
+    """shard, block, message: the pre-tokens of a block's list that belong to the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            n = [own.pieces(p) for p in batch.column("pretoken").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("n"), pa.array(n, pa.int32())], names=["pretoken", "n", "pieces"])
+            for block, pretokens in zip(batch.column("block").to_pylist(), batch.column("pretokens"), strict=True):
+                listed = pretokens.as_py()
+                order, edges = _order(listed, shards)
+                owners = np.flatnonzero(np.diff(edges))
+                messages = [press.compress(json.dumps([listed[i] for i in order[edges[s] : edges[s + 1]].tolist()], ensure_ascii=False).encode()) for s in owners]
+                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([block] * len(owners), pa.int64()), pa.array(messages, pa.binary())], names=["shard", "block", "message"])
 
-    summed = lists.groupBy("pretoken").agg(F.count("*").alias("n"))
-    return stage(summed.mapInArrow(tokenize, "pretoken string, n long, pieces int"))
+    return blocks.select("block", "pretokens").mapInArrow(run, "shard long, block long, message binary")
 
 
-def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
+def _answers(requests: DataFrame, path: str) -> DataFrame:
+    """Messages answered by piece counts, in their order; a shard's task tokenizes each different pre-token once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, current, pieces = cutter(path), None, {}
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for shard, message in zip(batch.column("shard").to_pylist(), batch.column("message"), strict=True):
+                if shard != current:
+                    current, pieces = shard, {}
+                listed = json.loads(unpress.decompress(message.as_py()))
+                for pretoken in listed:
+                    if pretoken not in pieces:
+                        pieces[pretoken] = own.pieces(pretoken)
+                out.append(press.compress(array("i", map(pieces.__getitem__, listed)).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "message"])
+
+    sent = requests.repartition("shard").sortWithinPartitions("shard", "block")
+    return sent.mapInArrow(run, "shard long, block long, message binary")
+
+
+def token_counts(docs: DataFrame, path: str | None = None, shard_size: int = SHARD) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, n_bytes, n_tokens; one row per input row."""
     path = path or default_path()
     blocks = _blocks(docs, path)
-    lists = blocks.select("block", F.posexplode("pretokens").alias("at", "pretoken"))
-    pieces = distinct_pieces(lists, path)
-    # A block names a pre-token once, so one block's pre-tokens have nothing to gain from the broadcast.
-    top = stage(pieces.where(f"n > 1 AND length(pretoken) <= {HEAD_LENGTH}").orderBy(F.desc("n"), "pretoken").limit(head).select("pretoken", F.col("pieces").alias("top_pieces")))
-    met = lists.join(F.broadcast(top), "pretoken", "left")
-    rest = met.where("top_pieces IS NULL").join(pieces.select("pretoken", "pieces"), "pretoken").select("block", "at", "pieces")
-    answers = met.where("top_pieces IS NOT NULL").select("block", "at", F.col("top_pieces").alias("pieces")).unionByName(rest)
-    heads = blocks.drop("pretokens").withColumns({"at": F.lit(-1), "pieces": F.lit(0)})
+    total = blocks.agg(F.coalesce(F.sum("different"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_size))
+    answers = _answers(_requests(blocks, shards), path)
+    heads = blocks.withColumn("shard", F.lit(-1).cast("long")).drop("different")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def counted(block: dict, found: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
-        numbered = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["numbered"]), np.int32)
-        sums = np.r_[0, np.cumsum(np.concatenate(found)[numbered], dtype=np.int64)] if len(numbered) else np.zeros(1, np.int64)
+    def counted(block: dict, messages: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
+        unpress = zstandard.ZstdDecompressor()
+        numbered = np.frombuffer(unpress.decompress(block["numbered"]), np.int32)
+        pieces = np.zeros(len(block["pretokens"]), np.int64)
+        if messages:
+            pieces[_order(block["pretokens"], shards)[0]] = np.concatenate([np.frombuffer(unpress.decompress(m), np.int32) for m in messages])
+        sums = np.r_[0, np.cumsum(pieces[numbered])]
         lengths = np.array(block["lengths"])
         ends = np.cumsum(lengths)
         tokens = sums[ends] - sums[ends - lengths] + np.array(block["special"])
         return pa.RecordBatch.from_arrays([pa.array(block["ids"], kind), pa.array(block["n_bytes"], pa.int64()), pa.array(tokens)], names=["doc_id", "n_bytes", "n_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, found, kind = None, [], None
+        block, messages, kind = None, [], None
         for batch in batches:
-            kind, at, counts = batch.schema.field("ids").type.value_type, 0, batch.column("pieces").to_numpy()
-            for begin in np.flatnonzero(batch.column("at").to_numpy() < 0).tolist():
-                found.append(counts[at:begin])
-                if block is not None:
-                    yield counted(block, found, kind)
-                block, found, at = batch.slice(begin, 1).to_pylist()[0], [], begin + 1
-            found.append(counts[at:])
+            kind = batch.schema.field("ids").type.value_type
+            for at, shard in enumerate(batch.column("shard").to_pylist()):
+                if shard < 0:
+                    if block is not None:
+                        yield counted(block, messages, kind)
+                    block, messages = batch.slice(at, 1).to_pylist()[0], []
+                else:
+                    messages.append(batch.column("message")[at].as_py())
         if block is not None:
-            yield counted(block, found, kind)
+            yield counted(block, messages, kind)
 
-    sent = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "at")
+    sent = heads.unionByName(answers, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "shard")
     return sent.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long")
 
 

@@ -91,12 +91,12 @@ def test_piece_digests(spark, odd):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("head", [50_000, 20])
-def test_token_counts_match_library(spark, docs, odd, head):
+@pytest.mark.parametrize("shard_size", [tokencount.SHARD, 300])
+def test_token_counts_match_library(spark, docs, odd, shard_size):
     library = tokencount.cutter(tokencount.default_path()).lib
     for frame in (docs, odd):
         want = Counter((d, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in frame.select("doc_id", "text").collect())
-        assert Counter(map(tuple, tokencount.token_counts(frame, head=head).collect())) == want
+        assert Counter(map(tuple, tokencount.token_counts(frame, shard_size=shard_size).collect())) == want
 
 
 def brute_classes(rows, shingle, k):
