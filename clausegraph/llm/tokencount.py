@@ -88,6 +88,14 @@ class _Numbers(dict):
         return n
 
 
+def _press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpress(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _blocks(docs: DataFrame, path: str) -> DataFrame:
     """Per block: its different pre-tokens, and of each document id, bytes, special tokens, and pre-tokens by number."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -97,8 +105,10 @@ def _blocks(docs: DataFrame, path: str) -> DataFrame:
 
         def emit() -> pa.RecordBatch:
             n_bytes, special, lengths = zip(*rows, strict=True)
-            packed = zstandard.ZstdCompressor(level=1).compress(numbered.tobytes())
-            made = [pa.array([ids], pa.list_(kind)), *(pa.array([x], pa.list_(pa.int64())) for x in (n_bytes, special, lengths)), pa.array([packed], pa.binary()), pa.array([len(numbers)], pa.int64()), pa.array([list(numbers)], pa.list_(pa.string()))]
+            # All first bytes, then all second ones and so on: numbers that are mostly small compress well so.
+            planes = np.ascontiguousarray(np.frombuffer(numbered, np.uint8).reshape(-1, 4).T)
+            packed, listed = _press(planes.tobytes()), _press(json.dumps(list(numbers), ensure_ascii=False).encode())
+            made = [pa.array([ids], pa.list_(kind)), *(pa.array([x], pa.list_(pa.int64())) for x in (n_bytes, special, lengths)), pa.array([packed], pa.binary()), pa.array([len(numbers)], pa.int64()), pa.array([listed], pa.binary())]
             return pa.RecordBatch.from_arrays(made, names=["ids", "n_bytes", "special", "lengths", "numbered", "different", "pretokens"])
 
         for batch in batches:
@@ -115,7 +125,7 @@ def _blocks(docs: DataFrame, path: str) -> DataFrame:
         if ids:
             yield emit()
 
-    schema = f"ids array<{id_type}>, n_bytes array<long>, special array<long>, lengths array<long>, numbered binary, different long, pretokens array<string>"
+    schema = f"ids array<{id_type}>, n_bytes array<long>, special array<long>, lengths array<long>, numbered binary, different long, pretokens binary"
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -130,13 +140,12 @@ def _requests(blocks: DataFrame, shards: int) -> DataFrame:
     """shard, block, message: the pre-tokens of a block's list that belong to the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for block, pretokens in zip(batch.column("block").to_pylist(), batch.column("pretokens"), strict=True):
-                listed = pretokens.as_py()
+                listed = json.loads(_unpress(pretokens.as_py()))
                 order, edges = _order(listed, shards)
                 owners = np.flatnonzero(np.diff(edges))
-                messages = [press.compress(json.dumps([listed[i] for i in order[edges[s] : edges[s + 1]].tolist()], ensure_ascii=False).encode()) for s in owners]
+                messages = [_press(json.dumps([listed[i] for i in order[edges[s] : edges[s + 1]].tolist()], ensure_ascii=False).encode()) for s in owners]
                 yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array([block] * len(owners), pa.int64()), pa.array(messages, pa.binary())], names=["shard", "block", "message"])
 
     return blocks.select("block", "pretokens").mapInArrow(run, "shard long, block long, message binary")
@@ -147,17 +156,16 @@ def _answers(requests: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, current, pieces = cutter(path), None, {}
-        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
             for shard, message in zip(batch.column("shard").to_pylist(), batch.column("message"), strict=True):
                 if shard != current:
                     current, pieces = shard, {}
-                listed = json.loads(unpress.decompress(message.as_py()))
+                listed = json.loads(_unpress(message.as_py()))
                 for pretoken in listed:
                     if pretoken not in pieces:
                         pieces[pretoken] = own.pieces(pretoken)
-                out.append(press.compress(array("i", map(pieces.__getitem__, listed)).tobytes()))
+                out.append(_press(array("i", map(pieces.__getitem__, listed)).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), pa.array(out, pa.binary())], names=["shard", "block", "message"])
 
     sent = requests.repartition("shard").sortWithinPartitions("shard", "block")
@@ -175,11 +183,12 @@ def token_counts(docs: DataFrame, path: str | None = None, shard_size: int = SHA
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def counted(block: dict, messages: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
-        unpress = zstandard.ZstdDecompressor()
-        numbered = np.frombuffer(unpress.decompress(block["numbered"]), np.int32)
-        pieces = np.zeros(len(block["pretokens"]), np.int64)
+        planes = np.frombuffer(_unpress(block["numbered"]), np.uint8).reshape(4, -1)
+        numbered = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+        listed = json.loads(_unpress(block["pretokens"]))
+        pieces = np.zeros(len(listed), np.int64)
         if messages:
-            pieces[_order(block["pretokens"], shards)[0]] = np.concatenate([np.frombuffer(unpress.decompress(m), np.int32) for m in messages])
+            pieces[_order(listed, shards)[0]] = np.concatenate([np.frombuffer(_unpress(m), np.int32) for m in messages])
         sums = np.r_[0, np.cumsum(pieces[numbered])]
         lengths = np.array(block["lengths"])
         ends = np.cumsum(lengths)
