@@ -18,9 +18,11 @@ import hashlib
 import itertools
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,8 @@ from clausegraph.llm.runtime import held, table
 MARK = "▁"
 #: Bounds of the tables each Python worker keeps, in two generations: what is not used again goes with the older one.
 PARTS, PAIRS = 150_000, 250_000
+#: Ids that a worker gathers before it hands rows on.
+FLUSH = 500_000
 
 
 def default_path() -> str:
@@ -186,17 +190,19 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            n, ids_sha, text_sha, ids = [], [], [], []
-            for value in batch.column("text"):
+            n, ids_sha, text_sha, ids, begin = [], [], [], array("i"), 0
+            for at, value in enumerate(batch.column("text")):
                 parts = own.encode_parts(value.as_py() or "")
                 line = " ".join([*(p[0] for p in parts), str(own.end)])
                 n.append(sum(p[1] for p in parts) + 1)
                 ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
                 text_sha.append(hashlib.sha256("".join(p[2] for p in parts).removeprefix(" ").encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(i) for i in line.split()])
-            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), *more], names=[*keep, *names])
+                    ids.extend(map(int, line.split()))
+                if len(ids) >= FLUSH or at + 1 == len(batch):
+                    more = [pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(n)], pa.int32()), pa.array(np.frombuffer(ids, np.int32)))] if with_ids else []
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, len(n)) for c in keep), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), *more], names=[*keep, *names])
+                    n, ids_sha, text_sha, ids, begin = [], [], [], array("i"), at + 1
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     types = {f.name: f.dataType.simpleString() for f in source.schema.fields}
