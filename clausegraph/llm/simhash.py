@@ -12,6 +12,9 @@
    than ``k`` are never paired, and each remaining pair of runs is a task of its own.
 6. Each task hands on a spanning forest of the links it found, never all pairs. Components then follow by large-star
    and small-star steps over those edges, on the cluster.
+7. Many tables (large ``k``) would each send a forest of the same dense group. Above WHOLE tables, FIRST of them that are
+   spread over the blocks are linked first; the rest start from the classes so found and send only edges that join two
+   of them. Every table is searched in full either way.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other. Equal texts share one class.
 A null doc_id gets the class of its fingerprint; it never names a class unless a class has no other ids (null then).
@@ -37,6 +40,8 @@ FAN = 16
 LARGE, AVERAGE = 8192, 1024
 #: (query, node) pairs that one step of a search holds.
 STEP = 1 << 18
+#: Routing tables up to which all are linked at once; tables of the first of two waves beyond that.
+WHOLE, FIRST = 16, 8
 
 
 def fingerprint(text: str | None, words_per_shingle: int) -> int:
@@ -93,15 +98,23 @@ def blocks_for(n: int, k: int) -> int:
     return blocks
 
 
-def routing_keys(blocks: int, k: int) -> Column:
-    """Array of (table, bits of the agreeing blocks), one for each choice of ``blocks - k`` blocks."""
+def routing_keys(blocks: int, k: int) -> list[Column]:
+    """(table, bits of the agreeing blocks), one for each choice of ``blocks - k`` blocks."""
     bounds = block_bounds(blocks)
     keys = []
     for number, chosen in enumerate(combinations(range(blocks), blocks - k)):
         mask = sum((1 << hi) - (1 << lo) for lo, hi in (bounds[c] for c in chosen))
         mask -= (mask >> 63) << 64
         keys.append(F.struct(F.lit(number).alias("tab"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*keys)
+    return keys
+
+
+def waves(keys: list[Column]) -> list[list[Column]]:
+    """The tables in the order in which they are linked: at once, or an even spread of them before the rest."""
+    if len(keys) <= WHOLE:
+        return [keys]
+    early = {len(keys) * i // FIRST for i in range(FIRST)}
+    return [[key for i, key in enumerate(keys) if (i in early) == first] for first in (True, False)]
 
 
 def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -194,15 +207,17 @@ class GrayIndex:
         return out
 
 
-def spanning_links(key: np.ndarray, fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (member, class head) of the links within each key; entries in any order."""
+def spanning_links(key: np.ndarray, fp: np.ndarray, k: int, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links within each key, between the known classes ``head`` (default: each fingerprint is
+    its own); entries in any order."""
     order = np.lexsort((gray_rank(fp), key))
-    key, fp = key[order], fp[order]
-    parent = np.arange(len(fp))
+    key, fp, head = key[order], fp[order], (fp if head is None else head)[order]
+    heads, first, of = np.unique(head, return_index=True, return_inverse=True)
+    parent = first[of]
     if len(fp):
         GrayIndex(key, fp).link(parent, k)
-    other = np.flatnonzero(parent != np.arange(len(fp)))
-    return fp[other], fp[parent[other]]
+    other = np.flatnonzero(parent[first] != first)
+    return heads[other], head[parent[first[other]]]
 
 
 def _links(k: int):
@@ -210,31 +225,35 @@ def _links(k: int):
         """Rows come sorted by group; a group is complete when the next begins."""
 
         def flush() -> pa.RecordBatch:
-            a, b = spanning_links(np.concatenate(keys), np.concatenate(fps).view(np.uint64), k)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            key, fp, head = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = spanning_links(key, fp.view(np.uint64), k, head)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        keys, fps, held = [], [], 0
+        held, rows = [], 0
         for batch in batches:
-            group, fp = batch.column("grp").to_numpy(), batch.column("fp").to_numpy()
-            begins = np.flatnonzero(np.r_[not keys or group[0] != keys[-1][-1], group[1:] != group[:-1]]) if len(group) else []
-            if held > 4 * LARGE and len(begins):
-                keys, fps = [*keys, group[: begins[0]]], [*fps, fp[: begins[0]]]
+            part = tuple(batch.column(c).to_numpy() for c in ("grp", "fp", "head"))
+            group = part[0]
+            begins = np.flatnonzero(np.r_[not held or group[0] != held[-1][0][-1], group[1:] != group[:-1]]) if len(group) else []
+            if rows > 4 * LARGE and len(begins):
+                held.append(tuple(x[: begins[0]] for x in part))
                 yield flush()
-                group, fp, keys, fps, held = group[begins[0] :], fp[begins[0] :], [], [], 0
-            if len(group):
-                keys, fps, held = [*keys, group], [*fps, fp], held + len(group)
-        if held:
+                part, held, rows = tuple(x[begins[0] :] for x in part), [], 0
+            if len(part[0]):
+                held.append(part)
+                rows += len(part[0])
+        if rows:
             yield flush()
 
     return run
 
 
-def near_edges(distinct: DataFrame, n: int, k: int) -> DataFrame:
-    """Edges (a, b) between fingerprints of ``distinct(fp)``, enough to connect all that are at most ``k`` bits apart."""
+def near_edges(known: DataFrame, keys: list[Column], k: int) -> DataFrame:
+    """Edges (a, b) between classes of ``known(fp, head)``, enough to connect all whose fingerprints are at most ``k``
+    bits apart and share one of ``keys``."""
     rank = F.col("fp")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    entries = distinct.select("fp", F.explode(routing_keys(blocks_for(n, k), k)).alias("key")).select("fp", F.xxhash64("key.tab", "key.bits").alias("grp"))
+    entries = known.select("fp", "head", F.explode(F.array(*keys)).alias("key")).select("fp", "head", F.xxhash64("key.tab", "key.bits").alias("grp"))
     large = cut(entries.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
     plain, hot = entries, None
     if not large.isEmpty():
@@ -244,7 +263,7 @@ def near_edges(distinct: DataFrame, n: int, k: int) -> DataFrame:
         cuts = placed.groupBy("grp").agg(F.max("n").alias("n"), F.percentile_approx("rank", [i / 256 for i in range(1, 256)], 20000).alias("cuts"))
         cuts = cuts.withColumn("step", F.greatest(F.lit(1), F.floor(F.lit(256) / F.ceil(F.col("n") / F.lit(LARGE / 2)))).cast("int"))
         cuts = cuts.select("grp", F.filter("cuts", lambda c, i: (i + 1) % F.col("step") == 0).alias("cuts"))
-        placed = cut(placed.join(F.broadcast(cuts), "grp").select("grp", "fp", F.size(F.filter("cuts", lambda c: F.col("rank") > c)).alias("run")))
+        placed = cut(placed.join(F.broadcast(cuts), "grp").select("grp", "fp", "head", F.size(F.filter("cuts", lambda c: F.col("rank") > c)).alias("run")))
         all_bits, any_bits = F.expr("bit_and(fp)"), F.expr("bit_or(fp)")
         nodes = placed.groupBy("grp", "run").agg(all_bits.alias("both"), any_bits.alias("any"))
         nodes = cut(nodes.select("grp", "run", F.bitwise_not(F.col("both").bitwiseXOR(F.col("any"))).alias("mask"), F.col("both").alias("pattern")))
@@ -254,11 +273,11 @@ def near_edges(distinct: DataFrame, n: int, k: int) -> DataFrame:
         pairs = pairs.where(F.bit_count(F.col("l.pattern").bitwiseXOR(F.col("r.pattern")).bitwiseAND(shared)) <= k)
         pairs = pairs.select(F.col("l.grp").alias("grp"), F.col("l.run").alias("lo"), F.col("r.run").alias("hi"))
         members = pairs.select("grp", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("run"), F.xxhash64("grp", "lo", "hi").alias("pair"))
-        hot = placed.join(members, ["grp", "run"]).select("fp", F.col("pair").alias("grp"))
+        hot = placed.join(members, ["grp", "run"]).select("fp", "head", F.col("pair").alias("grp"))
         plain = entries.join(large, "grp", "left_anti")
     links = _links(k)
     parts = [plain, *([hot] if hot is not None else [])]
-    out = [p.repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long") for p in parts]
+    out = [p.select("grp", "fp", "head").repartition("grp").sortWithinPartitions("grp").mapInArrow(links, "a long, b long") for p in parts]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
@@ -287,13 +306,20 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("head")).withColumnRenamed("a", "node")
 
 
+def near_classes(distinct: DataFrame, n: int, k: int) -> DataFrame:
+    """``distinct(fp)`` of ``n`` rows -> fp, head (one fingerprint of the class)."""
+    known = distinct.select("fp", F.col("fp").alias("head"))
+    for keys in waves(routing_keys(blocks_for(n, k), k)):
+        found = cut(components(near_edges(known, keys, k))).withColumnRenamed("head", "joined")
+        known = cut(known.join(found, known["head"] == found["node"], "left").select("fp", F.coalesce("joined", "head").alias("head")))
+    return known
+
+
 def classes(docs: DataFrame, words_per_shingle: int = 5, k: int = 4) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> doc_id, fp, component_id (smallest doc_id of the class)."""
     prints = cut(fingerprints(docs, words_per_shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    n = distinct.count()
-    found = cut(components(near_edges(distinct.select("fp"), n, k)))
-    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("head", "fp").alias("head"), "first_id")
+    named = distinct.join(near_classes(distinct.select("fp"), distinct.count(), k), "fp")
     least = named.groupBy("head").agg(F.min("first_id").alias("component_id"))
     names = cut(named.join(least, "head").select("fp", "component_id"))
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")

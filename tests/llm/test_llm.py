@@ -123,7 +123,7 @@ def brute_classes(rows, shingle, k):
     return Counter((d, prints[i] - (prints[i] >> 63 << 64), least[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("k,large", [(4, 8192), (4, 30), (10, 8192)])
+@pytest.mark.parametrize("k,large", [(4, 8192), (4, 30), (10, 8192), (10, 30)])
 def test_simhash_matches_brute_force(spark, docs, odd, monkeypatch, k, large):
     monkeypatch.setattr(simhash, "LARGE", large)
     short = odd.where("text IS NULL OR length(text) < 1000")
