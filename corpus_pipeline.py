@@ -1,4 +1,4 @@
-"""Corpus pipeline: language ID, SimHash near-duplicates, source mixing, SentencePiece encoding.
+"""Corpus pipeline: language ID, shingle near-duplicates, source mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``.
@@ -11,13 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import langid, mixing, pieces, simhash
-from clausegraph.llm.runtime import checkpoint_root, crc_of, cut
+from clausegraph.llm import langid, mixing, pieces, shingles
+from clausegraph.llm.runtime import checkpoint_root, crc_of, cut, small, stage
 
 #: A text stays if its language is known with at least this posterior.
 LEAST_SCORE = 0.5
-#: Differing bits that stand for a shingle similarity of 0.8: 64 / pi * arccos(2s / (1 + s)) = 9.7.
-NEAR_BITS = 10
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +26,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate class the document with the smallest doc_id (one row of it)."""
-    found = simhash.classes(docs, words_per_shingle=5, k=NEAR_BITS)
-    heads = cut(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head_id")).distinct())
-    kept = docs.join(heads, docs["doc_id"] == heads["head_id"]).drop("head_id")
-    return kept.dropDuplicates(["doc_id"])
+    """Keep one row of each class of texts that are linked by a five-word shingle similarity of 0.8 or more, verified on
+    the whole texts: the row with the smallest doc_id."""
+    rows = stage(shingles.with_nodes(docs))
+    heads = cut(shingles.classes(rows))
+    order = [F.col("doc_id"), F.col("row")]
+    narrow = rows.select("row", "node", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("place"))
+    classed = cut(narrow.join(heads, "node", "left").select("row", "place", F.coalesce("head", "node").alias("head")))
+    first = classed.groupBy("head").agg(F.min("place").alias("first"))
+    gone = cut(classed.join(first, "head").where(F.col("place") != F.col("first")).select("row"))
+    return rows.join(small(gone, gone.count()), "row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
