@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -44,3 +46,42 @@ def test_close_fingerprints_alone_are_no_link(spark):
     a, b = pair_where(3, lambda bits: bits.bit_count() <= 10)
     assert shared(a, b) < 0.7
     assert kept(spark, [(1, a), (2, b)]) == [(1, a), (2, b)]
+
+
+def test_similar_texts_with_far_fingerprints_are_linked(spark):
+    pairs = [pair_where(1, lambda bits, far=far: bits.bit_count() >= far) for far in (11, 13)]
+    assert all(shared(*p) >= 0.8 for p in pairs)
+    rows = [(2 * i + j, text) for i, p in enumerate(pairs) for j, text in enumerate(p)]
+    assert kept(spark, rows) == [r for r in rows if r[0] % 2 == 0]
+
+
+@pytest.mark.parametrize(("sample", "often"), [(20, 5), (1, 2), (1, 8)])
+def test_classes_match_brute_force(spark, monkeypatch, sample, often):
+    monkeypatch.setattr(shingles, "SAMPLE", sample)
+    monkeypatch.setattr(shingles, "OFTEN", often)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(30)]
+    texts = ["a b c", "A  b c", "a b d"]
+    for _ in range(10):
+        family = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 90))] + passage]
+        for _ in range(8):
+            family.append(edited(rng, rng.choice(family), rng.randrange(4)))
+        texts += [" ".join(w) for w in family]
+    sets = [set(shingles.shingles(t, 5).tolist()) for t in texts]
+    head = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((head[a], head[b]))
+                head = [x if h == y else h for h in head]
+    assert 20 < len(set(head)) < len(texts) - 20
+    assert kept(spark, list(enumerate(texts))) == sorted(((i, texts[i]) for i in set(head)), key=str)
+
+
+@pytest.mark.parametrize("held", [0, 3, 100])
+def test_groups_stay_whole(monkeypatch, held):
+    monkeypatch.setattr(shingles, "HELD", held)
+    keys = np.sort(np.array([5, 1, 1, 7, 7, 7, 7, 7, 2, 9], np.int64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2])], names=["key"]) for i in range(0, 10, 2)]
+    parts = [x.tolist() for (x,) in shingles._whole_groups(iter(batches), ["key"])]
+    assert sum(parts, []) == keys.tolist() and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
