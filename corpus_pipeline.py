@@ -27,10 +27,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of texts that are linked by a five-word shingle similarity of 0.8 or more, verified on
-    the whole texts: the row with the smallest doc_id."""
+    the whole texts: the row with the smallest doc_id, a null one last, then by text and by the other columns. Classes
+    without ids, and texts that share an id, each keep their row."""
     rows = stage(shingles.with_nodes(docs))
     heads = cut(shingles.classes(rows))
-    order = [F.col("doc_id"), F.col("row")]
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.xxhash64(*docs.columns), F.col("row")]
     narrow = rows.select("row", "node", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("place"))
     classed = cut(narrow.join(heads, "node", "left").select("row", "place", F.coalesce("head", "node").alias("head")))
     first = classed.groupBy("head").agg(F.min("place").alias("first"))

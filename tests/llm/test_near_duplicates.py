@@ -85,3 +85,23 @@ def test_groups_stay_whole(monkeypatch, held):
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2])], names=["key"]) for i in range(0, 10, 2)]
     parts = [x.tolist() for (x,) in shingles._whole_groups(iter(batches), ["key"])]
     assert sum(parts, []) == keys.tolist() and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_classes_without_ids_and_with_shared_ids_keep_a_row(spark):
+    a, b = pair_where(1, lambda bits: bits.bit_count() <= 10)
+    rows = [(None, "only text here"), (None, a), (3, b), (4, "one text"), (4, "another text"), (4, "another text"), (None, None), (6, ""), (5, " ")]
+    want = sorted([(None, "only text here"), (3, b), (4, "one text"), (4, "another text"), (5, " ")], key=str)
+    assert kept(spark, rows) == want
+    assert kept(spark, rows[::-1]) == want
+    assert kept(spark, [(None, None)]) == [(None, None)]
+
+
+def test_equal_ids_and_texts_keep_the_same_row_in_any_order(spark):
+    rows = [(1, "Some text"), (1, "some  text"), (1, "SOME text")]
+    first = kept(spark, rows)
+    assert len(first) == 1 and kept(spark, rows[::-1]) == first
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
