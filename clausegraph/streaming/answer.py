@@ -18,14 +18,14 @@ class Corpus:
         from clausegraph.operators import index
 
         self.key = key
-        self.posted = index.postings(docs, key, text).persist()
+        self.posted = index.postings(docs, key, text, stems=True).persist()
         self.sizes = index.doc_stats(self.posted, docs, key).persist()
         n, self.average = self.sizes.agg(F.count("*"), F.avg("dl")).first()
         self.idf = index.tok_stats(self.posted, n).persist()
 
     def answer(self, questions: DataFrame, least: float = retrieve.ABSTAIN) -> DataFrame:
         """request_id, question, outcome (answered, abstained, no_results), top_score, retrieved."""
-        words = token_rows(questions.select(F.col("request_id").alias("query_id"), "question"), "query_id", "question")
+        words = token_rows(questions.select(F.col("request_id").alias("query_id"), "question"), "query_id", "question", stems=True)
         scored = retrieve.bm25(words, self.posted, self.idf, self.sizes, self.key, self.average)
         top = retrieve.top_k(scored, 15, tie=self.key).join(questions.select(F.col("request_id").alias("query_id"), "k"), "query_id").where("pos <= k")
         listed = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col(self.key).cast("string").alias("id"), F.lit(0).alias("hop"), F.col("bm25_score").alias("score")).alias("r"))))
