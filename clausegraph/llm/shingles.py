@@ -6,7 +6,8 @@
    come last in the order; this saves candidates and never changes results.
 3. First each text of a key is compared with one of its key (a star), so that dense groups of near copies cost one link a
    member. Then all pairs of a key that are not yet in one class are compared, if sizes and places allow 4/5 at all.
-4. A candidate is a link only if the whole sets have the similarity. Classes are the components of the links.
+4. Candidates whose counts by hash range cannot reach 4/5 fall away. Of the others, one is a link only if the whole sets
+   have the similarity. Classes are the components of the links.
 
 Defined results: a text of fewer words than a shingle has one shingle, the whole text; null and wordless texts have none
 and are near only to each other.
@@ -176,11 +177,25 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pairs(held)
 
 
+def spread(keys: np.ndarray) -> np.ndarray:
+    """How many shingles fall in each of 64 ranges; two sets share at most the sum of the smaller counts."""
+    return np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32)
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose spreads allow 4/5; never leaves out a pair that has it."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 64).astype(np.int64) for c in ("x", "y"))
+        keep = near(x.sum(1) + y.sum(1), np.minimum(x, y).sum(1))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _sets(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py(), words_per_shingle).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "keys"])
+            found = [shingles(t.as_py(), words_per_shingle) for t in batch.column("text")]
+            made = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([spread(x).tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "spread"])
 
     return run
 
@@ -198,9 +213,14 @@ def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> Data
     """The pairs ``(a, b)`` whose whole shingle sets have a similarity of 4/5 or more."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     chosen = texts.join(small(nodes, nodes.count()), "node", "left_semi").select("node", "text")
-    sets = stage(chosen.mapInArrow(_sets(words_per_shingle), "node long, keys binary"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("keys").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("keys").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
+    sets = stage(chosen.mapInArrow(_sets(words_per_shingle), "node long, keys binary, spread binary"))
+
+    def joined(pairs: DataFrame, name: str) -> DataFrame:
+        x, y = (sets.select(F.col("node").alias(side), F.col(name).alias(to)) for side, to in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+    pairs = cut(joined(pairs, "spread").mapInArrow(_within, "a long, b long"))
+    return cut(joined(pairs, "keys").mapInArrow(_verified, "a long, b long"))
 
 
 def links(texts: DataFrame, words_per_shingle: int = 5) -> DataFrame:

@@ -105,3 +105,11 @@ def test_equal_ids_and_texts_keep_the_same_row_in_any_order(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], DOCS)
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_spread_bounds_what_is_shared():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in rng.integers(1, 400, 2))
+        b = np.union1d(b, a[: rng.integers(0, len(a) + 1)])
+        assert np.minimum(shingles.spread(a), shingles.spread(b)).sum() >= len(np.intersect1d(a, b))
