@@ -303,6 +303,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return edges.groupBy("a").agg(F.min("b").alias("head")).withColumnRenamed("a", "node")
 
 
