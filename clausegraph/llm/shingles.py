@@ -1,13 +1,15 @@
 """Near-duplicate classes by exact shingle similarity (Jaccard of distinct word shingles, 4/5 or more).
 
-1. Each text becomes its set of 64-bit shingle hashes; equal texts (lower case, single spaces) share one node.
-2. Prefix filter: in one fixed order of all shingles, two sets of similarity 4/5 or more share a shingle within the first
-   ``n - ceil(4n/5) + 1`` of each. So these are the keys, and no such pair is missed. Shingles that a sample finds often
-   come last in the order; this saves candidates and never changes results.
-3. First each text of a key is compared with one of its key (a star), so that dense groups of near copies cost one link a
-   member. Then all pairs of a key that are not yet in one class are compared, if sizes and places allow 4/5 at all.
-4. Candidates whose counts by hash range cannot reach 4/5 fall away. Of the others, one is a link only if the whole sets
-   have the similarity. Classes are the components of the links.
+1. Equal texts (lower case, single spaces) share one node.
+2. SimHash classes (``simhash.near_classes``, fingerprints at most NEAR_BITS apart) propose links: each member to one text
+   of its class. Only those whose whole shingle sets have the similarity are links.
+3. What fingerprints miss is found by a prefix filter: in one fixed order of all shingles, two sets of similarity 4/5 or
+   more share a shingle within the first ``n - ceil(4n/5) + 1`` of each. So these are the keys, and no such pair is missed.
+   Shingles that a sample finds often come last in the order; this saves candidates and never changes results.
+4. Each text of a key is first compared with one of its key (a star), so that dense groups of near copies cost one link a
+   member. Then all pairs of a key that are not yet in one class are candidates, if sizes and places allow 4/5 at all.
+5. Candidates that share too few keys for 4/5 fall away: beyond the prefixes, no more can be shared than the larger rest.
+   Of the others, one is a link only if the whole sets have the similarity. Classes are the components of the links.
 
 Defined results: a text of fewer words than a shingle has one shingle, the whole text; null and wordless texts have none
 and are near only to each other.
@@ -20,14 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.runtime import cut, small, stage
-from clausegraph.llm.simhash import SEED, components
+from clausegraph.llm.simhash import SEED, components, fingerprints, near_classes
 
 #: Texts whose node is divisible by SAMPLE are the sample; a shingle of OFTEN of them comes last in the order.
 SAMPLE, OFTEN, MOST_OFTEN = 20, 5, 500_000
+#: Differing bits up to which fingerprints propose a link.
+NEAR_BITS = 6
 #: Rows of an Arrow batch that a task hands on; rows that a task gathers before it looks at complete groups.
 ROWS, HELD = 1 << 19, 1 << 17
 
@@ -38,7 +43,10 @@ def line_of(text: str | None) -> bytes:
 
 def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
     """Distinct shingle hashes of a whole text, ascending."""
-    line = line_of(text)
+    return shingles_of(line_of(text), words_per_shingle)
+
+
+def shingles_of(line: bytes, words_per_shingle: int) -> np.ndarray:
     if not line:
         return np.zeros(0, np.uint64)
     words = line.split(b" ")
@@ -141,17 +149,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(fresh) - 1
         many = np.diff(np.r_[first, len(key)])[group] > 1
         star = first[group]
-        star = np.where(_possible(np.arange(len(key)), star, size, place), node[star], node) if len(key) else node
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, place, star)], names=["key", "node", "size", "place", "star"])
+        star = np.where(_possible(np.arange(len(key)), star, size, place), star, np.arange(len(key))) if len(key) else star
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, place, node[star], size[star])], names=["key", "node", "size", "place", "star", "star_size"])
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of a key between different classes."""
+def _counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """Different pairs (a, b) with their sizes, and how often each was met."""
+    a, b, size_a, size_b = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((b, a))
+    a, b, size_a, size_b = (x[order] for x in (a, b, size_a, size_b))
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    times = np.diff(np.r_[first, len(a)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], size_a[first], size_b[first], times)], names=["a", "b", "size_a", "size_b", "n"])
 
-    def pairs(held: list) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(held), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of a key between different classes, a > b; in order of size, so that a text meets only those of a
+    size that allows 4/5."""
     for key, node, size, place, head in _whole_groups(batches, ["key", "node", "size", "place", "head"]):
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
@@ -160,83 +174,104 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed = np.minimum.reduceat(head, first) != np.maximum.reduceat(head, first)
         mixed = mixed[np.cumsum(fresh) - 1]
         key, node, size, place, head = (x[mixed] for x in (key, node, size, place, head))
+        order = np.lexsort((size, key))
+        key, node, size, place, head = (x[order] for x in (key, node, size, place, head))
         at, away, held, rows = np.arange(len(key)), 1, [], 0
-        while len(at := at[at + away < len(key)]) and len(at := at[key[at + away] == key[at]]):
+        while len(at := at[at + away < len(key)]) and len(at := at[(key[at + away] == key[at]) & (4 * size[at + away].astype(np.int64) <= 5 * size[at].astype(np.int64))]):
             a, b = at, at + away
             away += 1
             keep = head[a] != head[b]
             a, b = a[keep], b[keep]
             keep = _possible(a, b, size, place)
-            a, b = node[a[keep]], node[b[keep]]
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            a, b = a[keep], b[keep]
+            swap = node[a] < node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            held.append([node[a], node[b], size[a], size[b]])
             rows += len(a)
             if rows > ROWS:
-                yield pairs(held)
+                yield _counted(held)
                 held, rows = [], 0
         if rows:
-            yield pairs(held)
+            yield _counted(held)
 
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each of 64 ranges; two sets share at most the sum of the smaller counts."""
-    return np.bincount((keys >> np.uint64(58)).astype(np.int64), minlength=64).astype(np.uint32)
+def _prefix(size: Column) -> Column:
+    return size - F.ceil(size * 4 / 5) + 1
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose spreads allow 4/5; never leaves out a pair that has it."""
+def _lack(size_a: Column, size_b: Column) -> Column:
+    """Keys that two sets of these sizes share at least, if they have 4/5: all they must share, less the larger rest."""
+    return F.ceil((size_a + size_b) * 4 / 9) - F.greatest(size_a - _prefix(size_a), size_b - _prefix(size_b))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, 64).astype(np.int64) for c in ("x", "y"))
-        keep = near(x.sum(1) + y.sum(1), np.minimum(x, y).sum(1))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        lines = [press(line_of(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(lines, pa.binary())], names=["node", "line"])
 
 
-def _sets(words_per_shingle: int):
+def _verified(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of b: its set is made once."""
+        whole = zstandard.ZstdDecompressor().decompress
+        last, of_last = None, np.zeros(0, np.uint64)
         for batch in batches:
-            found = [shingles(t.as_py(), words_per_shingle) for t in batch.column("text")]
-            made = [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([spread(x).tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *made], names=["node", "keys", "spread"])
+            keep = []
+            for x, b, y in zip(batch.column("x"), batch.column("b").to_pylist(), batch.column("y"), strict=True):
+                if b != last:
+                    last, of_last = b, shingles_of(whole(y.as_py()), words_per_shingle)
+                own = shingles_of(whole(x.as_py()), words_per_shingle)
+                keep.append(bool(near(len(own) + len(of_last), len(np.intersect1d(own, of_last, assume_unique=True)))))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
-            a, b = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
-            keep.append(bool(near(len(a) + len(b), len(np.intersect1d(a, b, assume_unique=True)))))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def verified(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole shingle sets have a similarity of 4/5 or more."""
+    """The pairs ``(a, b)`` whose whole shingle sets have a similarity of 4/5 or more. Whole texts travel compressed: they
+    are smaller than their sets of hashes."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     chosen = texts.join(small(nodes, nodes.count()), "node", "left_semi").select("node", "text")
-    sets = stage(chosen.mapInArrow(_sets(words_per_shingle), "node long, keys binary, spread binary"))
+    lines = stage(chosen.mapInArrow(_packed, "node long, line binary"), "none")
+    x, y = (lines.select(F.col("node").alias(side), F.col("line").alias(to)) for side, to in (("a", "x"), ("b", "y")))
+    met = pairs.select("a", "b").join(x, "a").join(y, "b").sortWithinPartitions("b")
+    return cut(met.select("a", "b", "x", "y").mapInArrow(_verified(words_per_shingle), "a long, b long"))
 
-    def joined(pairs: DataFrame, name: str) -> DataFrame:
-        x, y = (sets.select(F.col("node").alias(side), F.col(name).alias(to)) for side, to in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    pairs = cut(joined(pairs, "spread").mapInArrow(_within, "a long, b long"))
-    return cut(joined(pairs, "keys").mapInArrow(_verified, "a long, b long"))
+def proposals(texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Links (a, b) from each text to one text of its SimHash class."""
+    prints = cut(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), words_per_shingle))
+    distinct = cut(prints.select("fp").distinct())
+    classed = cut(prints.join(near_classes(distinct, distinct.count(), NEAR_BITS), "fp").select(F.col("doc_id").alias("a"), "head"))
+    first = classed.groupBy("head").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return cut(classed.join(first, "head").where("a <> b").select("a", "b"))
 
 
 def links(texts: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     """``texts(node, text)``, one row a node -> links (a, b) that connect all pairs of a similarity of 4/5 or more."""
     spark = texts.sparkSession
+    tested = proposals(texts, words_per_shingle)
+    found = verified(tested, texts, words_per_shingle)
     sample = texts.where(F.col("node") % SAMPLE == 0).select("text").mapInArrow(_sampled(words_per_shingle), "key long")
     often = sample.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(MOST_OFTEN).select("key").toArrow()
     late = spark.sparkContext.broadcast(np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64)))
     keys = texts.select("node", "text").mapInArrow(_prefixes(late, words_per_shingle), "key long, node long, size int, place int")
-    shared = stage(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size int, place int, star long"))
-    stars = cut(shared.where("node <> star").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct())
-    found = verified(stars, texts, words_per_shingle)
+    shared = stage(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size int, place int, star long, star_size int"))
+    # A star is tested if half the keys that near texts share have it as star; other pairs are left to the last step.
+    stars = shared.where("node <> star").groupBy(F.col("node").alias("a"), F.col("star").alias("b"), "size", "star_size").count()
+    stars = stars.where(2 * F.col("count") >= _lack(F.col("size"), F.col("star_size"))).select("a", "b")
+    classes_of = found.withColumnRenamed("a", "a0").withColumnRenamed("b", "head")
+    for side in ("a", "b"):
+        own = classes_of.select(F.col("a0").alias(side), F.col("head").alias(f"head_{side}"))
+        stars = stars.join(own, side, "left").withColumn(f"head_{side}", F.coalesce(f"head_{side}", side))
+    stars = cut(stars.where("head_a <> head_b").select("a", "b"))
+    found, tested = found.unionByName(verified(stars, texts, words_per_shingle)), tested.unionByName(stars)
     known = cut(components(found)).withColumnRenamed("node", "member")
     classed = shared.join(known, shared["node"] == known["member"], "left").select("key", "node", "size", "place", F.coalesce("head", "node").alias("head"))
-    rest = classed.repartition("key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long").distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = classed.repartition("key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long, size_a int, size_b int, n long")
+    rest = rest.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).where(F.col("n") >= _lack(F.col("size_a"), F.col("size_b")))
+    rest = cut(rest.select("a", "b").join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
     return found.unionByName(verified(rest, texts, words_per_shingle))
 
 

@@ -107,9 +107,15 @@ def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
 
 
-def test_spread_bounds_what_is_shared():
+def test_keys_that_near_sets_share_are_never_fewer_than_asked(spark):
+    """The bound on shared keys, by definition: sets of 4/5 or more under random orders of the shingles."""
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in rng.integers(1, 400, 2))
-        b = np.union1d(b, a[: rng.integers(0, len(a) + 1)])
-        assert np.minimum(shingles.spread(a), shingles.spread(b)).sum() >= len(np.intersect1d(a, b))
+    rows = []
+    while len(rows) < 200:
+        a, b = (np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in rng.integers(1, 60, 2))
+        b = np.union1d(b[: rng.integers(0, 5)], a[rng.integers(0, 8) :])
+        if len(b) and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            keys = [set(x[: len(x) - -(-4 * len(x) // 5) + 1].tolist()) for x in (a, b)]
+            rows.append((len(a), len(b), len(keys[0] & keys[1])))
+    frame = spark.createDataFrame(rows, "size_a int, size_b int, n long")
+    assert frame.where(frame["n"] < shingles._lack(frame["size_a"], frame["size_b"])).count() == 0
