@@ -6,7 +6,7 @@
 3. What fingerprints miss is found by a prefix filter: in one fixed order of all shingles, two sets of similarity 4/5 or
    more share a shingle within the first ``n - ceil(4n/5) + 1`` of each. So these are the keys, and no such pair is missed.
    Shingles that a sample finds often come last in the order; this saves candidates and never changes results.
-4. Each text of a key is first compared with one of its key (a star), so that dense groups of near copies cost one link a
+4. Each text of a key is first compared with a few of its key (stars), so that dense groups of near copies cost one link a
    member. Then all pairs of a key that are not yet in one class are candidates, if sizes and places allow 4/5 at all.
 5. Candidates that share too few keys for 4/5 fall away: beyond the prefixes, no more can be shared than the larger rest.
    Of the others, one is a link only if the whole sets have the similarity. Classes are the components of the links.
@@ -33,6 +33,8 @@ from clausegraph.llm.simhash import SEED, components, fingerprints, near_classes
 SAMPLE, OFTEN, MOST_OFTEN = 20, 5, 500_000
 #: Differing bits up to which fingerprints propose a link.
 NEAR_BITS = 6
+#: Texts of a key with which the first pass compares the others: those of the highest degree.
+STARS = 4
 #: Rows of an Arrow batch that a task hands on; rows that a task gathers before it looks at complete groups.
 ROWS, HELD = 1 << 19, 1 << 17
 
@@ -95,11 +97,13 @@ def _prefixes(often, words_per_shingle: int):
                 n = len(keys)
                 if not n:
                     continue
+                soon = n
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, keys), len(late) - 1)] == keys
-                    keys = np.concatenate([keys[~last], keys[last]])
-                keys = keys[: n + 4 * -n // 5 + 1 if n else 0]
-                held.append((keys, np.full(len(keys), node), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32)))
+                    keys, soon = np.concatenate([keys[~last], keys[last]]), n - int(last.sum())
+                keys = keys[: n + 4 * -n // 5 + 1]
+                end = int(keys[-1]) >> 2 | (len(keys) > soon) << 62  # in the order of all shingles
+                held.append((keys, np.full(len(keys), node), np.full(len(keys), n, np.int32), np.arange(len(keys), dtype=np.int32), np.full(len(keys), end)))
                 rows += len(keys)
                 if rows > ROWS:
                     yield _batch(held)
@@ -111,8 +115,8 @@ def _prefixes(often, words_per_shingle: int):
 
 
 def _batch(held: list) -> pa.RecordBatch:
-    key, node, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(size), pa.array(place)], names=["key", "node", "size", "place"])
+    key, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, rest)], names=["key", "node", "size", "place", "end"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -132,25 +136,26 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _possible(a: np.ndarray, b: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether sets that share the shingle at these places can have 4/5: by sizes, and by what is left on both sides."""
+def _possible(a: np.ndarray, b: np.ndarray, size: np.ndarray, place: np.ndarray, end: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether sets that share the shingle at these places can have 4/5: by sizes, by what is left on both sides, by
+    ``most`` of the set whose prefix ends first (all that its prefix shares is in both prefixes), and by how many keys of
+    each any other text has, as near texts share more of them than the larger rest can make up for."""
     size, place = size.astype(np.int64), place.astype(np.int64)
     left = np.minimum(place[a], place[b]) + 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1
-    return near(size[a] + size[b], left)
+    first = np.where(end[a] < end[b], most[a], np.where(end[b] < end[a], most[b], np.maximum(most[a], most[b])))
+    rest = -(4 * -size // 5) - 1  # what no prefix holds
+    shared = np.minimum((most - rest)[a], (most - rest)[b])
+    return near(size[a] + size[b], np.minimum(np.minimum(left, first), shared + np.maximum(rest[a], rest[b])))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys of two texts or more, with the text of the key's star where they can be near it (else their own)."""
-    for key, node, size, place in _whole_groups(batches, ["key", "node", "size", "place"]):
-        order = np.lexsort((node, key))
-        key, node, size, place = (x[order] for x in (key, node, size, place))
+    """Rows of keys of two texts or more, with the number of their key's texts."""
+    for key, node, size, place, end in _whole_groups(batches, ["key", "node", "size", "place", "end"]):
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(fresh)
         group = np.cumsum(fresh) - 1
-        many = np.diff(np.r_[first, len(key)])[group] > 1
-        star = first[group]
-        star = np.where(_possible(np.arange(len(key)), star, size, place), star, np.arange(len(key))) if len(key) else star
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, place, node[star], size[star])], names=["key", "node", "size", "place", "star", "star_size"])
+        texts = np.bincount(group)[group] if len(key) else np.zeros(0, np.int64)
+        many = texts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, place, end, texts)], names=["key", "node", "size", "place", "end", "texts"])
 
 
 def _counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -163,26 +168,51 @@ def _counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], size_a[first], size_b[first], times)], names=["a", "b", "size_a", "size_b", "n"])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each text of a key and the key's STARS texts of the highest degree, if they can be near."""
+    for key, node, size, place, end, head, degree, most in _whole_groups(batches, ["key", "node", "size", "place", "end", "head", "degree", "most"]):
+        if not len(key):
+            continue
+        order = np.lexsort((node, -degree, key))
+        key, node, size, place, end, head, most = (x[order] for x in (key, node, size, place, end, head, most))
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        first, at = np.flatnonzero(fresh), np.arange(len(key))
+        group = np.cumsum(fresh) - 1
+        held = []
+        for number in range(STARS):
+            b = np.minimum(first[group] + number, len(key) - 1)
+            a, b = at[at > b], b[at > b]
+            keep = (group[a] == group[b]) & (head[a] != head[b])
+            a, b = a[keep], b[keep]
+            keep = _possible(a, b, size, place, end, most)
+            a, b = a[keep], b[keep]
+            swap = node[a] < node[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            held.append([node[a], node[b], size[a], size[b]])
+        if sum(len(x[0]) for x in held):
+            yield _counted(held)
+
+
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Possible pairs of a key between different classes, a > b; in order of size, so that a text meets only those of a
     size that allows 4/5."""
-    for key, node, size, place, head in _whole_groups(batches, ["key", "node", "size", "place", "head"]):
+    for key, node, size, place, end, head, most in _whole_groups(batches, ["key", "node", "size", "place", "end", "head", "most"]):
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
         if not len(first):
             continue
         mixed = np.minimum.reduceat(head, first) != np.maximum.reduceat(head, first)
         mixed = mixed[np.cumsum(fresh) - 1]
-        key, node, size, place, head = (x[mixed] for x in (key, node, size, place, head))
+        key, node, size, place, end, head, most = (x[mixed] for x in (key, node, size, place, end, head, most))
         order = np.lexsort((size, key))
-        key, node, size, place, head = (x[order] for x in (key, node, size, place, head))
+        key, node, size, place, end, head, most = (x[order] for x in (key, node, size, place, end, head, most))
         at, away, held, rows = np.arange(len(key)), 1, [], 0
         while len(at := at[at + away < len(key)]) and len(at := at[(key[at + away] == key[at]) & (4 * size[at + away].astype(np.int64) <= 5 * size[at].astype(np.int64))]):
             a, b = at, at + away
             away += 1
             keep = head[a] != head[b]
             a, b = a[keep], b[keep]
-            keep = _possible(a, b, size, place)
+            keep = _possible(a, b, size, place, end, most)
             a, b = a[keep], b[keep]
             swap = node[a] < node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -204,6 +234,12 @@ def _lack(size_a: Column, size_b: Column) -> Column:
     return F.ceil((size_a + size_b) * 4 / 9) - F.greatest(size_a - _prefix(size_a), size_b - _prefix(size_b))
 
 
+def _enough(pairs: DataFrame, times: int) -> DataFrame:
+    """Pairs whose keys in common, counted ``times`` times, are as many as near texts share at least."""
+    summed = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    return summed.where(times * F.col("n") >= _lack(F.col("size_a"), F.col("size_b"))).select("a", "b")
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -256,22 +292,24 @@ def links(texts: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     sample = texts.where(F.col("node") % SAMPLE == 0).select("text").mapInArrow(_sampled(words_per_shingle), "key long")
     often = sample.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(MOST_OFTEN).select("key").toArrow()
     late = spark.sparkContext.broadcast(np.sort(often.column("key").to_numpy().astype(np.int64).view(np.uint64)))
-    keys = texts.select("node", "text").mapInArrow(_prefixes(late, words_per_shingle), "key long, node long, size int, place int")
-    shared = stage(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size int, place int, star long, star_size int"))
-    # A star is tested if half the keys that near texts share have it as star; other pairs are left to the last step.
-    stars = shared.where("node <> star").groupBy(F.col("node").alias("a"), F.col("star").alias("b"), "size", "star_size").count()
-    stars = stars.where(2 * F.col("count") >= _lack(F.col("size"), F.col("star_size"))).select("a", "b")
-    classes_of = found.withColumnRenamed("a", "a0").withColumnRenamed("b", "head")
-    for side in ("a", "b"):
-        own = classes_of.select(F.col("a0").alias(side), F.col("head").alias(f"head_{side}"))
-        stars = stars.join(own, side, "left").withColumn(f"head_{side}", F.coalesce(f"head_{side}", side))
-    stars = cut(stars.where("head_a <> head_b").select("a", "b"))
+    keys = texts.select("node", "text").mapInArrow(_prefixes(late, words_per_shingle), "key long, node long, size int, place int, end long")
+    shared = stage(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, size int, place int, end long, texts long"))
+    pairs = "a long, b long, size_a int, size_b int, n long"
+    # Keys that no other prefix has cannot be shared with a text whose prefix ends later: ``most`` is what is left.
+    # A text whose keys many others have is the likely source of its copies, and so a star. Pairs with it are tested if
+    # it is the star of half the keys that near texts share; other pairs are left to the last step.
+    own = shared.groupBy("node").agg(F.sum("texts").alias("degree"), F.first("size").alias("size"), F.count("*").alias("n"))
+    own = own.withColumn("most", F.col("size") - _prefix(F.col("size")) + F.col("n")).select("node", "degree", "most")
+    own = cut(own.join(found.select(F.col("a").alias("node"), F.col("b").alias("head")), "node", "left").withColumn("head", F.coalesce("head", "node")))
+    stars = shared.join(own, "node").select("key", "node", "size", "place", "end", "head", "degree", "most").repartition("key").sortWithinPartitions("key").mapInArrow(_stars, pairs)
+    tested = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = cut(_enough(stars, 2).join(tested, ["a", "b"], "left_anti"))
     found, tested = found.unionByName(verified(stars, texts, words_per_shingle)), tested.unionByName(stars)
     known = cut(components(found)).withColumnRenamed("node", "member")
-    classed = shared.join(known, shared["node"] == known["member"], "left").select("key", "node", "size", "place", F.coalesce("head", "node").alias("head"))
-    rest = classed.repartition("key").sortWithinPartitions("key").mapInArrow(_rest, "a long, b long, size_a int, size_b int, n long")
-    rest = rest.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n")).where(F.col("n") >= _lack(F.col("size_a"), F.col("size_b")))
-    rest = cut(rest.select("a", "b").join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    own = cut(own.drop("head").join(known, own["node"] == known["member"], "left").select("node", "most", F.coalesce("head", "node").alias("head")))
+    classed = shared.join(own, "node").select("key", "node", "size", "place", "end", "head", "most")
+    rest = classed.repartition("key").sortWithinPartitions("key").mapInArrow(_rest, pairs)
+    rest = cut(_enough(rest, 1).join(tested, ["a", "b"], "left_anti"))
     return found.unionByName(verified(rest, texts, words_per_shingle))
 
 
