@@ -3,13 +3,13 @@
 A merge encoding is the only cut of a text into pieces in which every adjacent pair is stable: merging the pair's
 characters again gives the same two pieces. So the encoder takes the longest piece that starts at a position (all
 matches come from one Aho-Corasick pass), checks it against the piece before by re-merging that pair (remembered per
-pair), tries the next shorter piece that it begins with, and steps back when none fits; a bitfield holds positions from which no cut exists, so
-that none is tried twice. Characters without a piece become byte pieces.
+pair), tries the next shorter piece that it begins with, and steps back when none fits; a bitfield holds positions from which no
+cut exists, so that none is tried twice. Characters without a piece become byte pieces.
 
 Pieces never contain a space mark after another character (checked when the model is loaded), and characters that
 occur in no longer piece never merge, so a text falls apart there exactly; encodings of these parts are remembered in
 a bounded table. Defined results: null text is the empty text (just the end id; decodes to the empty text). Repeated
-rows get equal results; texts of any length are encoded whole; other columns are ignored.
+rows get equal results; texts of any length are encoded whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from clausegraph.llm.runtime import held, table
 
 MARK = "▁"
 #: Bounds of the tables each Python worker keeps, in two generations: what is not used again goes with the older one.
-PARTS, PAIRS = 150_000, 250_000
+PARTS, PAIRS = 250_000, 250_000
 #: Ids that a worker gathers before it hands rows on.
 FLUSH = 500_000
 
@@ -68,7 +68,10 @@ class Codec:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         whole = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.parts = re.compile(r"[\s\S]+" if whole else f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        #: Parts of a text as it comes, with blanks or space marks: the table's keys are mostly their own surface, too.
+        self.parts = re.compile(r"[\s\S]+" if whole else f"[{alone}]|[ {MARK}]+[^ {MARK}{alone}]*|[^ {MARK}{alone}]+" if alone else f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
+        #: Whether a piece's characters merge to it again.
+        self.whole: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.old_pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, int, str]] = {}
@@ -101,8 +104,11 @@ class Codec:
 
     def cut(self, text: str) -> list[str]:
         """The merge encoding of ``text`` as strings, by backtracking."""
-        if text in self.ids and self.merge(text) == [text]:
-            return [text]
+        if text in self.ids:
+            if (whole := self.whole.get(text)) is None:
+                whole = self.whole[text] = self.merge(text) == [text]
+            if whole:
+                return [text]
         size, shorter, stable = len(text), self.shorter, self.stable
         known = self.pairs.get
         longest = {last + 1 - length: length for last, length in self.found.iter(text)}  # ends ascend: the longest stays
@@ -132,16 +138,17 @@ class Codec:
         return out
 
     def _part(self, part: str) -> tuple[str, int, str]:
-        if (done := self.old_known.get(part)) is not None:
+        if (done := self.known.get(part) or self.old_known.get(part)) is not None:
             self.known[part] = done
             return done
-        cut = self.cut(part)
+        cut = self.cut(part.replace(" ", MARK))
         ids = list(map(self.ids.get, cut))
         if None in ids:
             ids = [j for piece, i in zip(cut, ids, strict=True) for j in ([i] if i is not None else [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown])]
         if len(self.known) >= PARTS:
             self.old_known, self.known = self.known, {}
-        done = (" ".join([self.name[i] for i in ids]), len(ids), self.plain(ids))
+        plain = self.plain(ids)
+        done = (" ".join([self.name[i] for i in ids]), len(ids), part if plain == part else plain)
         if len(part) <= 64:
             self.known[part] = done
         return done
@@ -170,7 +177,8 @@ class Codec:
     def encode_parts(self, text: str) -> list[tuple[str, int, str]]:
         if not text:
             return []
-        return [self.known.get(p) or self._part(p) for p in self.parts.findall(MARK + text.replace(" ", MARK))]
+        known, made = self.known.get, self._part
+        return [known(p) or made(p) for p in self.parts.findall(" " + text)]
 
     def encode(self, text: str) -> list[int]:
         return [*(int(i) for p in self.encode_parts(text) for i in p[0].split()), self.end]
@@ -189,14 +197,15 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        end = (str(own.end), 1, "")
         for batch in batches:
             n, ids_sha, text_sha, ids, begin = [], [], [], array("i"), 0
             for at, value in enumerate(batch.column("text")):
-                parts = own.encode_parts(value.as_py() or "")
-                line = " ".join([*(p[0] for p in parts), str(own.end)])
-                n.append(sum(p[1] for p in parts) + 1)
+                named, counts, plain = zip(*own.encode_parts(value.as_py() or ""), end, strict=True)
+                line = " ".join(named)
+                n.append(sum(counts))
                 ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                text_sha.append(hashlib.sha256("".join(p[2] for p in parts).removeprefix(" ").encode()).hexdigest())
+                text_sha.append(hashlib.sha256("".join(plain).removeprefix(" ").encode()).hexdigest())
                 if with_ids:
                     ids.extend(map(int, line.split()))
                 if len(ids) >= FLUSH or at + 1 == len(batch):
