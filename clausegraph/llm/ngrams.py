@@ -37,7 +37,7 @@ from clausegraph.llm.runtime import crc_of, stage, table
 
 FOLDS, HELD = 7, 2
 M2, M3 = 2000.0, 2.0
-BLOCK, SHARD = 1_500_000, 1_500_000
+BLOCK, SHARD = 2_400_000, 1_500_000
 #: Steps of the quantised logarithms: 1 / 4096 of a decimal order.
 SCALE = 4096.0
 #: Local word numbers with a fixed meaning, by a byte string that no word can be.
@@ -180,25 +180,24 @@ class Trie:
     """One shard: paths of three words with quantised values, over a memory map."""
 
     @staticmethod
-    def build(u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
-        """From different paths (word ids below 2^ID_BITS) and their counts, all over 0, in any order."""
-        words = np.unique(np.concatenate([u, v, w]))
+    def build(words: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> bytes:
+        """From different word ids below 2^ID_BITS, ascending, and different paths (as places in ``words``) in ascending
+        order with their counts, all over 0."""
         size = max(len(words), 1)
-        ru, rv, rw = (np.searchsorted(words, x) for x in (u, v, w))
-        if len(ru) and (np.diff(ru * size + rv) < 0).any() or ((np.diff(rw) < 0) & (np.diff(ru * size + rv) == 0)).any():
-            order = np.lexsort((rw, rv, ru))
-            ru, rv, rw, count = ru[order], rv[order], rw[order], count[order]
-        first, at1 = np.unique(ru, return_inverse=True)
-        pair, at2 = np.unique(at1 * size + rv, return_inverse=True)
-        totals = np.bincount(at2, count, len(pair))
+        fresh1 = np.r_[True, u[1:] != u[:-1]] if len(u) else np.zeros(0, bool)
+        fresh2 = fresh1 | np.r_[True, v[1:] != v[:-1]] if len(u) else fresh1
+        first, at1 = u[fresh1], np.cumsum(fresh1) - 1
+        starts = np.flatnonzero(fresh2)
+        pair, at2 = at1[starts] * size + v[starts], np.cumsum(fresh2) - 1
+        totals = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, np.int64)
         share = count / (totals[at2] + M3) if len(count) else np.zeros(0)
         parts = [np.array([size], np.int64)]
         parts += EliasFano.pack(words, 1 << ID_BITS)
         parts += EliasFano.pack(first, size)
         parts += EliasFano.pack(np.searchsorted(pair, np.arange(len(first) + 1) * size), len(pair) + 1)
         parts += EliasFano.pack(pair, len(first) * size)
-        parts += EliasFano.pack(np.searchsorted(at2, np.arange(len(pair) + 1)), len(at2) + 1)
-        parts += EliasFano.pack(at2 * size + rw, len(pair) * size)
+        parts += EliasFano.pack(np.r_[starts, len(u)], len(at2) + 1)
+        parts += EliasFano.pack(at2 * size + w, len(pair) * size)
         parts += [np.rint(np.log10(np.maximum(totals, 1)) * SCALE).astype(np.uint16) + np.uint16(1), np.minimum(np.rint(-np.log10(share) * SCALE), 65534).astype(np.uint16) + np.uint16(1)]
         return _join(parts)
 
@@ -221,14 +220,13 @@ class Trie:
             out[some] = level.find(context[some] * self.size + rank[some], lo, hi)
         return out
 
-    def look_up(self, u: np.ndarray, v: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the pairs (u, v) and of the triples (u[at], v[at], w); 0 where there is no such path."""
-        every, back = np.unique(np.concatenate([u, v, w]), return_inverse=True)
-        rank = self.words.find(every)[back]
-        ru, rv, rw = rank[: len(u)], rank[len(u) : 2 * len(u)], rank[2 * len(u) :]
-        one = np.where(ru >= 0, self.level1.find(np.maximum(ru, 0)), -1)
-        two = self._successors(self.level2, self.to2, one, rv)
-        three = self._successors(self.level3, self.to3, two[at], rw)
+    def look_up(self, words: np.ndarray, u: np.ndarray, v: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs (u, v) and of the triples (u[at], v[at], w), all as places in the word ids ``words``; 0 where
+        there is no such path."""
+        rank = self.words.find(words)
+        one = np.where(rank >= 0, self.level1.find(np.maximum(rank, 0)), -1)
+        two = self._successors(self.level2, self.to2, one[u], rank[v])
+        three = self._successors(self.level3, self.to3, two[at], rank[w])
         pairs, triples = (np.where(p >= 0, codes[np.maximum(p, 0)] if len(codes) else 0, 0).astype(np.uint16) for p, codes in ((two, self.frequency), (three, self.share)))
         return pairs, triples
 
@@ -352,27 +350,32 @@ def _answer_words(messages: list[bytes]) -> tuple[int, list[bytes]]:
 
 
 def _answer_paths(messages: list[bytes]) -> list[bytes]:
-    parts = []
+    parts, own, before = [], [], 0
     for message in messages:
         low, high, runs, v, children, w, counts = _unpress(message)
-        words = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        parts.append((np.repeat(words, _whole(runs)), words[_whole(v)], _whole(children), words[_whole(w)], _whole(counts)))
+        own.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+        runs, v, w = (_whole(x).astype(np.int64) for x in (runs, v, w))
+        parts.append((np.repeat(np.arange(len(low)) + before, runs), v + before, _whole(children), w + before, _whole(counts)))
+        before += len(low)
     u, v, children, w, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     p_cuts, t_cuts = np.cumsum([len(p[0]) for p in parts])[:-1], np.cumsum([len(p[3]) for p in parts])[:-1]
     del parts
-    at = np.repeat(np.arange(len(u)), children)
-    words = np.unique(np.concatenate([u, v, w]))
+    words, place = np.unique(np.concatenate(own), return_inverse=True)  # each message names a word once
+    del own
     size = len(words)
-    pairs, pair_back = np.unique(np.searchsorted(words, u) * size + np.searchsorted(words, v), return_inverse=True)
-    triples, back = np.unique(pair_back[at] * size + np.searchsorted(words, w), return_inverse=True)
-    del u, v, w, at
+    pairs, pair_back = np.unique(place[u] * size + place[v], return_inverse=True)
+    triples, back = np.unique(pair_back[np.repeat(np.arange(len(u)), children)] * size + place[w], return_inverse=True)
+    del u, v, w, place
     summed = np.bincount(back, counts, len(triples)).astype(np.int64)
-    pu, pv = words[pairs // size], words[pairs % size]
-    t_at, t_w = triples // size, words[triples % size]
+    pu, pv, t_at, t_w = pairs // size, pairs % size, triples // size, triples % size
     seen = summed > 0
-    del triples, counts
-    trie = Trie(Trie.build(pu[t_at[seen]], pv[t_at[seen]], t_w[seen], summed[seen]))
-    pair_codes, triple_codes = trie.look_up(pu, pv, t_at, t_w)
+    del triples, counts, pairs
+    known = np.zeros(size, bool)
+    for x in (pu[t_at[seen]], pv[t_at[seen]], t_w[seen]):
+        known[x] = True
+    rank = np.cumsum(known) - 1
+    trie = Trie(Trie.build(words[known], rank[pu[t_at[seen]]], rank[pv[t_at[seen]]], rank[t_w[seen]], summed[seen]))
+    pair_codes, triple_codes = trie.look_up(words, pu, pv, t_at, t_w)
     return [_press([_planes(a, np.uint16), _planes(b, np.uint16)]) for a, b in zip(np.split(pair_codes[pair_back], p_cuts), np.split(triple_codes[back], t_cuts), strict=True)]
 
 
