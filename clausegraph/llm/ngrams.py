@@ -277,34 +277,49 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return stage(docs.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id()))
 
 
+def _numbered(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers ``a * size + b``, ascending, and the place of each one's; holds few large arrays at a time."""
+    both = a.astype(np.int64)
+    both *= size
+    both += b
+    order = np.argsort(both)
+    both = both[order]
+    fresh = np.empty(len(both), bool)
+    fresh[:1] = True
+    np.not_equal(both[1:], both[:-1], out=fresh[1:])
+    place = np.empty(len(both), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return both[fresh], place
+
+
 class Paths:
     """A block's n-grams: its different pairs and triples in shard order, and where each token's are."""
 
     def __init__(self, row: dict, shards: int):
         self.hash = np.frombuffer(row["words"], np.uint64)
         self.sizes, self.train = np.array(row["sizes"], np.int64), ~np.array(row["held"], bool)
-        tokens = _whole(_unpress(row["tokens"])[0]).astype(np.int64)
+        tokens = _whole(_unpress(row["tokens"])[0]).view(np.int32)
         docs, count = len(self.sizes), len(self.hash)
         ends = np.cumsum(self.sizes)
-        self.tokens, self.doc = tokens, np.repeat(np.arange(docs), self.sizes)
+        self.tokens, self.doc = tokens, np.repeat(np.arange(docs, dtype=np.int32), self.sizes)
         self.start = np.zeros(len(tokens), bool)
         self.start[ends - self.sizes] = True
-        before = np.where(self.start, BEGIN, np.r_[0, tokens[:-1]])
-        after = np.where(tokens == END, PAD, np.r_[tokens[1:], PAD])
-        self.before = before
-        short = self.hash & np.uint64((1 << ID_BITS) - 1)
-        pair, self.pair_of = np.unique(before * count + tokens, return_inverse=True)
+        self.before = np.where(self.start, np.int32(BEGIN), np.r_[tokens[:1], tokens[:-1]])
+        pair, self.pair_of = _numbered(self.before, tokens, count)
         u, v = pair // count, pair % count
+        self.short = short = self.hash & np.uint64((1 << ID_BITS) - 1)
         mixed = (short[u] ^ (short[v] & np.uint64(15)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
         shard = (mixed >> np.uint64(33)).astype(np.int64) % shards
+        del pair, mixed
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.pair_of, self.shard = place[self.pair_of], shard[order]
         self.u, self.v = u[order], v[order]
-        triple, self.triple_of = np.unique(self.pair_of * count + after, return_inverse=True)
+        del u, v, shard, order, place
+        after = np.where(tokens == END, np.int32(PAD), np.r_[tokens[1:], tokens[:1]])
+        triple, self.triple_of = _numbered(self.pair_of, after, count)
         self.at, self.w = triple // count, triple % count
-        self.short = short
         self.weight = self.train[self.doc]
 
     def requests(self, shards: int) -> Iterator[tuple[int, int, bytes]]:
