@@ -19,19 +19,24 @@ def histogram(words: DataFrame, column: str, digits: int = 0) -> DataFrame:
 
 
 def modal_delta(lines: DataFrame, low: float, high: float) -> DataFrame:
-    """One row: the most frequent step between the page's different tops within (low, high), and the line tolerance."""
+    """One row: the most frequent step between the page's different tops within (low, high), in whole points, and the line
+    tolerance; the smaller of equally frequent steps."""
     tops = lines.select("page", F.bround("top", 1).alias("top")).distinct()
-    step = F.bround(F.col("top") - F.lag("top").over(Window.partitionBy("page").orderBy("top")), 1)
-    counted = tops.select(step.alias("delta")).where((F.col("delta") > low) & (F.col("delta") < high)).groupBy("delta").agg(F.count("*").alias("n"))
+    step = F.col("top") - F.lag("top").over(Window.partitionBy("page").orderBy("top"))
+    counted = tops.select(step.alias("step")).where((F.col("step") > low) & (F.col("step") < high)).groupBy(F.bround("step").alias("delta")).agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), "delta").limit(1).withColumn("tolerance", F.bround(F.col("delta") * 0.4, 1))
 
 
 def divide(hist: DataFrame, min_gap: float = 12.0) -> DataFrame:
-    """One row: middles of the gaps next to the most frequent position, left and right of it."""
+    """One row: middles of the gaps next to the most frequent position, left and right of it; without a gap on a side, the
+    last (left) or first (right) of all gaps."""
     mode = hist.orderBy(F.desc("n"), "x").limit(1).select(F.col("x").alias("mode_x"))
     gaps = hist.select(F.col("x").alias("lo"), F.lead("x").over(Window.orderBy("x")).alias("hi")).where(F.col("hi") - F.col("lo") >= min_gap)
     middle = F.bround((F.col("lo") + F.col("hi")) / 2, 1)
-    return gaps.crossJoin(F.broadcast(mode)).groupBy("mode_x").agg(F.max_by(F.when(F.col("hi") <= F.col("mode_x"), middle), F.when(F.col("hi") <= F.col("mode_x"), F.col("lo"))).alias("left_x"), F.min_by(F.when(F.col("lo") >= F.col("mode_x"), middle), F.when(F.col("lo") >= F.col("mode_x"), F.col("lo"))).alias("right_x")).select("left_x", "right_x", "mode_x")
+    before, after = F.when(F.col("hi") <= F.col("mode_x"), F.col("lo")), F.when(F.col("lo") >= F.col("mode_x"), F.col("lo"))
+    left = F.coalesce(F.max_by(middle, before), F.max_by(middle, "lo"))
+    right = F.coalesce(F.min_by(middle, after), F.min_by(middle, "lo"))
+    return gaps.crossJoin(F.broadcast(mode)).groupBy("mode_x").agg(left.alias("left_x"), right.alias("right_x")).select("left_x", "right_x", "mode_x")
 
 
 def peaks(hist: DataFrame, tolerance: float, least: int) -> DataFrame:

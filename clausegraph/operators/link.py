@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.functions.text import slug
 
-_LIST = r"(?:,\s*|\s+and\s+|\s+or\s+)"
+# What separates the items of a list, forms of clause and sub-section numbers, names of other Acts.
+_AND = r"\s*(?:,|and)\s*"
+_CLAUSE, _SUB = r"\(\s*([a-z]{1,2})\s*\)", r"\(\s*\d+\s*\)"
+_ACT = r"[A-Z][A-Za-z’'()\.\- ]{2,70}?(?:Act|Code),\s*\d{4}"
 #: Clause, sub-sections, sections and (looked ahead at) the name of another Act or Code.
-QUALIFIED = rf"(?:clause\s+\(([a-z]+)\)\s+of\s+)?(?:sub-sections?\s+((?:\(\w+\){_LIST}?)+)\s*of\s+)?\bsections?\s+(\d+(?:{_LIST}\d+)*)(?=(?:\s+of\s+the\s+([A-Z][\w\s]*?(?:Act|Code)(?:,\s*\d{{4}})?))?)"
-BARE = rf"\bsub-sections?\s+((?:\(\w+\){_LIST}?)+)"
+QUALIFIED = rf"(?:\bclauses?\s*{_CLAUSE}\s+of\s+)?(?:\bsub-sections?\s*({_SUB}(?:{_AND}{_SUB})*)\s+of\s+)?\bsections?\s+(\d+(?:{_AND}\d+)*)\b(?=(?:\s*(?:of\s+)?(?:the\s+)?({_ACT}))?)"
+BARE = rf"\bsub-sections?\s*({_SUB}(?:{_AND}{_SUB})*)"
 SCHEDULE = r"\bthe Schedule\b"
 
 
@@ -29,14 +32,14 @@ def scan_references(rows: DataFrame, max_section: int) -> DataFrame:
     scanned = scanned.withColumn("any_external", F.exists("found", external))
     each = scanned.select("node_id", F.posexplode("found").alias("seq", "m")).withColumn("external", external(F.col("m")))
     outer = each.where("external").select(F.col("node_id").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("m.quote").alias("quote"), F.lit("external").alias("resolution"), F.nullif(F.col("m.act"), F.lit("")).alias("act"), "seq")
-    subs = _all(F.col("m.subs"), r"\((\w+)\)", 1)
+    subs = _all(F.col("m.subs"), r"(\d+)", 1)
     own = each.where("NOT external").select("node_id", "seq", "m", F.explode(_all(F.col("m.secs"), r"(\d+)", 1)).alias("sec"), F.when(F.size(subs) > 0, subs).otherwise(F.array(F.lit(""))).alias("subs"))
     own = own.select("node_id", "seq", "m", "sec", F.explode("subs").alias("sub"))
     target = F.concat_ws("-", F.lit("s"), "sec", F.nullif(F.col("sub"), F.lit("")), F.nullif(F.col("m.clause"), F.lit("")))
     inner = own.select(F.col("node_id").alias("src"), target.alias("dst"), F.col("m.quote").alias("quote"), F.lit("qualified").alias("resolution"), F.lit(None).cast("string").alias("act"), "seq")
     masked = F.regexp_replace(text, QUALIFIED, " ")
     bare = scanned.where("owner IS NOT NULL AND NOT any_external").select("node_id", "owner", F.posexplode(F.arrays_zip(_all(masked, BARE, 0).alias("quote"), _all(masked, BARE, 1).alias("subs"))).alias("seq", "m"))
-    bare = bare.select("node_id", "owner", "seq", "m", F.explode(_all(F.col("m.subs"), r"\((\w+)\)", 1)).alias("sub"))
+    bare = bare.select("node_id", "owner", "seq", "m", F.explode(_all(F.col("m.subs"), r"(\d+)", 1)).alias("sub"))
     bare = bare.select(F.col("node_id").alias("src"), F.concat_ws("-", "owner", "sub").alias("dst"), F.col("m.quote").alias("quote"), F.lit("relative").alias("resolution"), F.lit(None).cast("string").alias("act"), (F.col("seq") + 1000).alias("seq"))
     plan = rows.where(text.rlike(SCHEDULE)).select(F.col("node_id").alias("src"), F.lit("schedule").alias("dst"), F.lit("the Schedule").alias("quote"), F.lit("schedule").alias("resolution"), F.lit(None).cast("string").alias("act"), F.lit(100_000).alias("seq"))
     return inner.unionByName(outer).unionByName(bare).unionByName(plan)
@@ -75,11 +78,12 @@ def attach_headnotes(sections: DataFrame, blocks: DataFrame, overrides: DataFram
 
 def mentions(nodes: DataFrame, terms: DataFrame) -> DataFrame:
     """src, dst for whole-word, case-sensitive uses of ``terms(id, term, defined_in)``. Nodes and terms meet by the term's
-    first word, so no node is compared with every term; the whole term is verified then."""
-    words = nodes.select("node_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))).alias("w"))
+    first word, so no node is compared with every term; texts join only the pairs so found, and whole terms are verified."""
+    words = nodes.select("node_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))).alias("w"))
     heads = terms.select("id", "term", "defined_in").withColumn("w", F.regexp_extract("term", r"(?U)(\w+)", 1))
+    met = words.join(heads, "w").where(F.col("node_id").cast("string") != F.col("defined_in")).drop("w")
     hit = F.expr(r"text rlike concat('(?U)\\b\\Q', term, '\\E\\b')")
-    return words.join(heads, "w").where(hit & (F.col("node_id") != F.col("defined_in"))).select(F.col("node_id").alias("src"), F.col("id").alias("dst")).distinct()
+    return nodes.select("node_id", "text").join(met, "node_id").where(hit).select(F.col("node_id").alias("src"), F.col("id").alias("dst")).distinct()
 
 
 def penalty_edges(schedule: DataFrame, nodes: DataFrame, max_section: int) -> DataFrame:
@@ -93,6 +97,11 @@ def structural_edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.concat(F.lit("HAS_"), F.upper("kind")).alias("type"))
 
 
+def definition_edges(defs: DataFrame) -> DataFrame:
+    """DEFINES edges from the provision that defines a term to the definition."""
+    return defs.select(F.col("defined_in").alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("type"))
+
+
 def external_acts(citations: DataFrame) -> DataFrame:
     """``citations(citation)`` like ``45 of 1860.`` -> one node an Act."""
     number, year = F.regexp_extract("citation", r"(\d+) of (\d{4})", 1), F.regexp_extract("citation", r"(\d+) of (\d{4})", 2)
@@ -111,6 +120,3 @@ def act_metadata(text: Column) -> tuple[Column, Column]:
     """(number, assent date) of an Act's front page."""
     return F.regexp_extract(text, r"(?i)\bNO\.?\s+(\d+)\s+OF\s+\d{4}", 1), F.regexp_extract(text, r"\[(\d{1,2}(?:st|nd|rd|th)?\s+\w+,?\s+\d{4})", 1)
 
-
-def last_block(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("top")))).where("n = 1").drop("n")

@@ -6,7 +6,7 @@ rerank scores stay in columns of their own; the abstention gate reads the BM25 s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausegraph.operators.index import B, K1
@@ -25,7 +25,7 @@ def checked(df: DataFrame, limit: int = SMALL) -> DataFrame:
 def expand(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     """``questions(query_id, question)``, ``vocab(vocab_seq, phrase, expansions)`` -> adds expanded, hits. All phrases
     fire, also overlapping ones; longer phrases first; additions keep repeats."""
-    fired = questions.join(F.broadcast(vocab), F.expr(r"question rlike concat('(?i)\\b\\Q', phrase, '\\E(?:s|es|ed|ing)?\\b')"))
+    fired = questions.join(F.broadcast(vocab), F.expr(r"lower(question) rlike concat('(?U)\\b\\Q', phrase, '\\E(?:s|es|ed|ing)?\\b')"))
     order = F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("a"), "vocab_seq", "expansions")))
     added = fired.groupBy("query_id").agg(F.array_join(F.flatten(F.transform(order, lambda x: x["expansions"])), " ").alias("added"), F.array_sort(F.collect_set("phrase")).alias("hits"))
     joined = questions.join(added, "query_id", "left")
@@ -130,9 +130,35 @@ def abstain(queries: DataFrame, results: DataFrame, least: float = ABSTAIN) -> D
     return joined.withColumn("abstains", F.col("top_score") < least)
 
 
-def looks_compound(question: str = "question"):
-    words = F.size(F.filter(F.split(F.col(question), r"\s+"), lambda w: w != ""))
-    return (words >= 9) & F.lower(question).rlike(r"\b(and|also|as well as|versus|vs|or)\b|;|\?.*\?")
+# What makes a long question compound, words and most parts of a split.
+JOINING_WORDS = ["and", "also", "what do we owe", "to whom", "as well as", "both"]
+ASKING_WORDS = ["what", "who", "how", "when", "do", "does", "can", "is", "are"]
+COMPOUND_WORDS, PART_WORDS, MOST_PARTS = 9, 3, 4
+
+
+def _words(question: Column) -> Column:
+    return F.size(F.filter(F.split(question, r"\s+"), lambda w: w != ""))
+
+
+def looks_compound(question: str = "question") -> Column:
+    joined = rf"(?iU)\b(?:{'|'.join(JOINING_WORDS)})\b|,\s*(?:and\s+)?(?:{'|'.join(ASKING_WORDS)})\b|;"
+    return (_words(F.col(question)) >= COMPOUND_WORDS) & F.col(question).rlike(joined)
+
+
+def split_questions(proposed: DataFrame) -> DataFrame:
+    """``proposed(query_id, question, reply)`` -> query_id, sub_seq, question: the question itself (0), then the lines of
+    the provider's ``reply`` without bullets and numbers, of PART_WORDS words or more, other than the question, at most
+    MOST_PARTS. A null or useless reply leaves the question alone."""
+    lines = F.transform(F.split(F.coalesce("reply", F.lit("")), "\n"), lambda x: F.btrim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
+    good = F.filter(lines, lambda x: (_words(x) >= PART_WORDS) & (F.lower(x) != F.lower(F.btrim("question"))))
+    every = F.concat(F.array("question"), F.slice(good, 1, MOST_PARTS))
+    return proposed.select("query_id", F.posexplode(every).alias("sub_seq", "question"))
+
+
+def final_order(results: DataFrame, seq: str = "pos") -> DataFrame:
+    """Adds ``place`` (from 1): by hop, then weight and score downwards, then the order in which results came in."""
+    order = Window.partitionBy("query_id").orderBy("hop", F.desc("weight"), F.desc("score"), seq)
+    return results.withColumn("place", F.row_number().over(order))
 
 
 def merge_subresults(results: DataFrame, key: str) -> DataFrame:

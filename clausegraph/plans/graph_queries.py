@@ -215,10 +215,10 @@ SQL = {
       SELECT round_even(sum(x * n) / sum(n), 1) AS peak, sum(n)::BIGINT AS n FROM i GROUP BY k HAVING sum(n) >= 20""",
     "mode_gap_divide": """WITH h AS (SELECT round_even(l_extendedprice / 500, 0) AS x, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT x AS mode FROM h ORDER BY n DESC, x LIMIT 1),
       g AS (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FROM h), w AS (SELECT lo, hi FROM g WHERE hi - lo >= 1.0)
-      SELECT (SELECT round_even((lo + hi) / 2, 1) FROM w, m WHERE hi <= mode ORDER BY lo DESC LIMIT 1) AS left_x, (SELECT round_even((lo + hi) / 2, 1) FROM w, m WHERE lo >= mode ORDER BY lo LIMIT 1) AS right_x, (SELECT mode FROM m) AS mode_x""",
+      SELECT (SELECT round_even((lo + hi) / 2, 1) FROM w, m ORDER BY hi <= mode DESC, lo DESC LIMIT 1) AS left_x, (SELECT round_even((lo + hi) / 2, 1) FROM w, m ORDER BY lo >= mode DESC, lo LIMIT 1) AS right_x, (SELECT mode FROM m) AS mode_x""",
     "half_even_snap": "SELECT l_orderkey, l_linenumber, greatest(0, round_even((l_quantity - 3.0) / 4.0, 0))::INT AS rung FROM lineitem",
-    "modal_delta": """WITH d AS (SELECT DISTINCT l_orderkey AS page, round_even(l_quantity, 1) AS top FROM lineitem), s AS (SELECT round_even(top - lag(top) OVER (PARTITION BY page ORDER BY top), 1) AS delta FROM d)
-      SELECT delta, n, round_even(delta * 0.4, 1) AS tolerance FROM (SELECT delta, count(*) AS n FROM s WHERE delta > 6.0 AND delta < 30.0 GROUP BY delta ORDER BY n DESC, delta LIMIT 1)""",
+    "modal_delta": """WITH d AS (SELECT DISTINCT l_orderkey AS page, round_even(l_quantity, 1) AS top FROM lineitem), r AS (SELECT top - lag(top) OVER (PARTITION BY page ORDER BY top) AS step FROM d), s AS (SELECT round_even(step, 0) AS delta FROM r WHERE step > 6 AND step < 30)
+      SELECT delta, n, round_even(delta * 0.4, 1) AS tolerance FROM (SELECT delta, count(*) AS n FROM s GROUP BY delta ORDER BY n DESC, delta LIMIT 1)""",
     "prefix_drop_running_flag": "SELECT user_id, event_id FROM (SELECT user_id, event_id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS f FROM events) WHERE f = 1",
     "table_page_semi_anti": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'table' ELSE 'body' END AS part FROM lineitem",
     "ordered_string_agg": "SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, ''))) AS text_sha256, count(*) AS turns FROM conversations GROUP BY conv_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausegraph.functions.text import token_rows, tokens, word_count
-from clausegraph.operators import index, retrieve
+from clausegraph.operators import index, link, retrieve
 
 TOP = 6
 VOCAB = [(1, "que", ["quoi", "quel"]), (2, "the", ["article"]), (3, "tion", ["action", "motion"]), (4, "and", ["plus"]), (5, "der", ["die", "das"]), (6, "of the", ["from"])]
@@ -137,9 +137,9 @@ def chunk_long_split(spark, sf_dir):
 
 def mentions_theta(spark, sf_dir):
     """Which documents name which term as a whole word."""
-    terms = spark.createDataFrame([("the",), ("nicht",), ("dans",), ("para",), ("the and",)], "term string")
-    hit = F.expr(r"text rlike concat('\\b\\Q', term, '\\E\\b')")
-    return _docs(spark, sf_dir).join(F.broadcast(terms), hit).select("doc_id", "term")
+    terms = spark.createDataFrame([(t, t, "") for t in ("the", "nicht", "dans", "para", "the and")], "id string, term string, defined_in string")
+    found = link.mentions(_docs(spark, sf_dir).select(F.col("doc_id").alias("node_id"), "text"), terms)
+    return found.select(F.col("src").alias("doc_id"), F.col("dst").alias("term"))
 
 
 def quote_check(spark, sf_dir):
@@ -220,7 +220,7 @@ SQL = {
     "intent_detect": f"WITH {_INTENT_SQL} SELECT DISTINCT query_id, name FROM fired",
     "vocab_expand": r"""WITH vocab(seq, phrase, added) AS (VALUES (1, 'que', 'quoi quel'), (2, 'the', 'article'), (3, 'tion', 'action motion'), (4, 'and', 'plus'), (5, 'der', 'die das'), (6, 'of the', 'from')),
       asked AS (SELECT conv_id || ':' || turn AS query_id, text FROM conversations WHERE role = 'user'),
-      fired AS (SELECT query_id, string_agg(added, ' ' ORDER BY -length(phrase), seq) AS more, string_agg(phrase, ',' ORDER BY phrase) AS hits FROM asked JOIN vocab ON regexp_matches(text, '(?i)\b' || phrase || '(?:s|es|ed|ing)?\b') GROUP BY query_id)
+      fired AS (SELECT query_id, string_agg(added, ' ' ORDER BY -length(phrase), seq) AS more, string_agg(phrase, ',' ORDER BY phrase) AS hits FROM asked JOIN vocab ON regexp_matches(lower(text), '(^|[^\pL\pM\pN_])' || phrase || '(s|es|ed|ing)?([^\pL\pM\pN_]|$)') GROUP BY query_id)
       SELECT a.query_id, concat_ws(' ', a.text, f.more) AS expanded, coalesce(f.hits, '') AS hits FROM asked a LEFT JOIN fired f USING (query_id)""",
     "completeness_union": f"""WITH {_TOP_SQL} {_INTENT_SQL}
       SELECT query_id, doc_id, score FROM top UNION ALL
@@ -236,7 +236,7 @@ SQL = {
       SELECT query_id, doc_id, score, CASE WHEN sub > 0 THEN sub END::INT AS via_sub FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sub) AS n FROM both_) WHERE n = 1""",
     "chunk_long_split": r"""WITH parts AS (SELECT doc_id, CASE WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) > 220 THEN list_filter(string_split(text, chr(10)), lambda x: x <> '') ELSE [text] END AS p FROM documents WHERE text IS NOT NULL)
       SELECT doc_id, (i - 1)::BIGINT AS part, length(c)::BIGINT AS n_chars, sha256(c) AS chunk_sha256 FROM (SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM parts)""",
-    "mentions_theta": r"WITH terms(term) AS (VALUES ('the'), ('nicht'), ('dans'), ('para'), ('the and')) SELECT doc_id, term FROM documents JOIN terms ON regexp_matches(text, '\b' || term || '\b')",
+    "mentions_theta": r"WITH terms(term) AS (VALUES ('the'), ('nicht'), ('dans'), ('para'), ('the and')) SELECT doc_id, term FROM documents JOIN terms ON regexp_matches(text, '(^|[^\pL\pM\pN_])' || term || '([^\pL\pM\pN_]|$)')",
     "quote_check": r"""WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS quote FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body FROM documents)
       SELECT DISTINCT item_id, doc_id FROM q JOIN d ON contains(body, quote) WHERE quote <> '' AND body <> ''""",
     "eval_hits": f"""WITH {_TOP_SQL} good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), h AS (SELECT query_id, count(g.doc_id) AS n FROM top LEFT JOIN good g USING (doc_id) GROUP BY query_id)

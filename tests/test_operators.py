@@ -148,3 +148,35 @@ def test_providers_and_publish(spark, tmp_path):
     version = io.publish({"nodes": nodes, "edges": edges}, str(tmp_path))
     assert spark.read.parquet(f"{version}/nodes").count() == 1
     assert "it\\'s" in io.cypher(nodes, edges).first().value and io.gexf(nodes, edges).count() == 5
+
+
+def test_citation_forms_with_blanks(spark):
+    answers = spark.createDataFrame([("q", "See § 8 (5)( a ) and Schedule 2, then section 12(1).")], "query_id string, answer string")
+    assert [r.cited for r in verify.citations(answers).orderBy("seq").collect()] == ["s-8-5-a", "pen-2", "s-12-1"]
+
+
+def test_claims_lose_headings_and_attributions(spark):
+    answers = spark.createDataFrame([("q", "The law says: under this section requires that notice be given to the Board.\nSchedule entry 1 provides that a penalty may be imposed.\nWhy: it is so.")], "query_id string, answer string")
+    assert [r.claim for r in verify.split_claims(answers).orderBy("seq").collect()] == ["notice be given to the Board.", "a penalty may be imposed."]
+
+
+def test_amounts_of_digits_and_small_numbers(spark):
+    answers = spark.createDataFrame([("q", "You owe 500 rupees, ten rupees and up to two hundred and fifty crore rupees.")], "query_id string, answer string")
+    held = spark.createDataFrame([("q", "may extend to two hundred and fifty crore rupees")], "query_id string, text string")
+    assert sorted(r.amount for r in verify.check_amounts(answers, held).collect()) == ["500 rupees", "ten rupees"]
+
+
+def test_compound_split_and_final_order(spark):
+    asked = [("What must we tell the Board and whom else today?", True), ("What do we owe and to whom", False), ("What do we owe a person whose data we have lost", True), ("Is the fine for this higher or lower than that one", False)]
+    frame = spark.createDataFrame(asked, "question string, want boolean")
+    assert all(r.found == r.want for r in frame.select("want", retrieve.looks_compound().alias("found")).collect())
+    replies = spark.createDataFrame([("a", "Who and what is it?", "1. Who is it then?\n- what is that\n* no\nWHO and what is it?"), ("b", "One?", None)], "query_id string, question string, reply string")
+    parts = [tuple(r) for r in retrieve.split_questions(replies).orderBy("query_id", "sub_seq").collect()]
+    assert parts == [("a", 0, "Who and what is it?"), ("a", 1, "Who is it then?"), ("a", 2, "what is that"), ("b", 0, "One?")]
+    rows = spark.createDataFrame([("q", "x", 1, 0.6, 0.0, 1), ("q", "y", 0, 1.0, 2.0, 2), ("q", "z", 0, 1.0, 3.0, 3)], "query_id string, id string, hop int, weight double, score double, pos int")
+    assert [r.id for r in retrieve.final_order(rows).orderBy("place").collect()] == ["z", "y", "x"]
+
+
+def test_steps_are_taken_raw_and_rounded_to_points(spark):
+    lines = spark.createDataFrame([(1, t) for t in (0.0, 11.6, 23.6, 35.4, 65.3, 71.2)], "page int, top double")
+    assert [tuple(r) for r in layout.modal_delta(lines, 6.0, 30.0).collect()] == [(12.0, 3, 4.8)]
