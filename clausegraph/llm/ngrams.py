@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import crc_of, stage, table
+from clausegraph.llm.runtime import crc_of, stage, table, trim
 
 FOLDS, HELD = 7, 2
 M2, M3 = 2000.0, 2.0
@@ -347,9 +347,11 @@ class Paths:
 def _requests(blocks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 kinds, owners, messages = zip(*Paths(row, shards).requests(shards), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(owners, pa.int64()), pa.array([row["block"]] * len(kinds), pa.int64()), pa.array(messages, pa.binary())], names=["kind", "shard", "block", "message"])
+                trim()
 
     return blocks.select("block", "held", "sizes", "words", "tokens").mapInArrow(run, "kind int, shard long, block long, message binary")
 
@@ -404,13 +406,14 @@ def _answers(requests: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, blocks, messages = None, [], []
         for batch in batches:
-            for kind, shard, block, message in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "block", "message")), strict=True):
+            for kind, shard, block, message in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "block")), batch.column("message"), strict=True):
                 if (kind, shard) != key:
                     if blocks:
                         yield answer(key, blocks, messages)
+                        trim()
                     key, blocks, messages = (kind, shard), [], []
                 blocks.append(block)
-                messages.append(message)
+                messages.append(message.as_py())  # only those of one shard are copied
         if blocks:
             yield answer(key, blocks, messages)
 
@@ -454,10 +457,12 @@ def _scores(blocks: DataFrame, answers: DataFrame, shards: int, n: int, v: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, messages = None, []
         for batch in batches:
-            for one in batch.to_pylist():
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1).to_pylist()[0]
                 if one["kind"] < 0:
                     if row is not None:
                         yield scored(row, messages)
+                        trim()
                     row, messages = one, []
                 else:
                     messages.append((one["kind"], one["shard"], one["message"]))

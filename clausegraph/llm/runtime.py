@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -31,6 +32,13 @@ def release() -> None:
     _held.clear()
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can (a worker that is used again would keep it)."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own temporary one where it is unset."""
     sc = spark.sparkContext
