@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import cut, small, table
+from clausegraph.llm.runtime import apart, cut, small, table
 
 REPEAT = 3
 WEIGHTS = 3
@@ -131,12 +131,13 @@ def plan_mix(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves: every row as often as the plan takes it, all columns kept."""
+    """The mixed documents themselves: every row as often as the plan takes it, all columns kept, whatever their names."""
+    docs, back = apart(docs, ("doc_id", "source", "text"))
     plan = cut(plan_mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").where("copies > 0").distinct())
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     held = docs.withColumn("m_size0", size)
     on = held["doc_id"].eqNullSafe(plan["m_id"]) & held["source"].eqNullSafe(plan["m_source"]) & (held["m_size0"] == plan["m_size"])
-    return held.join(plan, on).withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return held.join(plan, on).withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*back)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def apart(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with every column outside ``own`` under a name that no operator uses, and the expressions that give the
+    columns of ``docs`` back, in order."""
+    names = {c: c if c in own else f"_kept{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(own_name).alias(c) for c, own_name in names.items()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

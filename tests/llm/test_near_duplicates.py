@@ -119,3 +119,15 @@ def test_keys_that_near_sets_share_are_never_fewer_than_asked(spark):
             rows.append((len(a), len(b), len(keys[0] & keys[1])))
     frame = spark.createDataFrame(rows, "size_a int, size_b int, n long")
     assert frame.where(frame["n"] < shingles._lack(frame["size_a"], frame["size_b"])).count() == 0
+
+
+@pytest.mark.parametrize("number", [0, 1, 2])
+def test_columns_with_clashing_names_are_kept(spark, number):
+    names = ["score", "lang_pred", "node", "row", "head", "place", "m_id", "m_size0", "copies", "m_copy"]
+    texts = ["the small bird sings in the old garden"] * 2 + ["le petit oiseau chante dans le vieux jardin"] * 2
+    rows = [(i, t, "en" if i < 2 else "fr", f"s{i % 2}", 1, *[-7.0 - i] * len(names)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, DOCS + "".join(f", {n} double" for n in names))
+    out = corpus_pipeline.STAGES[number][1](spark, frame, "")
+    assert out.schema.names == frame.schema.names
+    found = out.collect()
+    assert found and all({r[n] for n in names} == {-7.0 - r.doc_id} for r in found)
