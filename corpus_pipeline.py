@@ -12,23 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegraph.llm import langid, mixing, pieces, shingles
-from clausegraph.llm.runtime import checkpoint_root, crc_of, cut, small, stage
+from clausegraph.llm.runtime import apart, checkpoint_root, crc_of, cut, small, stage
 
 #: A text stays if its language is known with at least this posterior.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of an identified language (not ``und``, posterior of LEAST_SCORE or more)."""
+    """Keep documents of an identified language (not ``und``, posterior of LEAST_SCORE or more). Null, empty and letterless
+    texts go; null ids are learned from like crc 0, that is not at all; repeated rows stay; columns keep names and values."""
+    docs, back = apart(docs, ("doc_id", "text", "lang"))
     model = langid.fit(docs.where(crc_of("doc_id") % langid.FOLDS != 0))
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each class of texts that are linked by a five-word shingle similarity of 0.8 or more, verified on
     the whole texts: the row with the smallest doc_id, a null one last, then by text and by the other columns. Classes
-    without ids, and texts that share an id, each keep their row."""
+    without ids, and texts that share an id, each keep their row; null and wordless texts are one class."""
+    docs, back = apart(docs, ("doc_id", "text", "lang", "source"))
     rows = stage(shingles.with_nodes(docs))
     heads = cut(shingles.classes(rows))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"), F.xxhash64(*docs.columns), F.col("row")]
@@ -36,16 +39,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classed = cut(narrow.join(heads, "node", "left").select("row", "place", F.coalesce("head", "node").alias("head")))
     first = classed.groupBy("head").agg(F.min("place").alias("first"))
     gone = cut(classed.join(first, "head").where(F.col("place") != F.col("first")).select("row"))
-    return rows.join(small(gone, gone.count()), "row", "left_anti").select(*docs.columns)
+    return rows.join(small(gone, gone.count()), "row", "left_anti").select(*back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that sources reach their target weights."""
+    """Repeat or drop documents so that sources reach their target weights. Wordless texts have size 0 and are not taken; a
+    null source is a source; rows with one id, source and size share their number of copies."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every remaining document, with the digests of ids and of the decoded text."""
+    """Ids of every remaining document, with the digests of ids and of the decoded text; a null text is an empty one."""
     return pieces.encode(docs, keep=["doc_id", "lang", "source"], with_ids=True)
 
 
