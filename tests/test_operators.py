@@ -61,14 +61,25 @@ def test_parser(spark):
     assert list(got) == ["act", "ch-II", "s-6", "s-6-1", "s-6-1-a", "s-6-1-b", "s-6-1-b-i", "s-6-2", "s-6-2-ill1", "s-7", "s-7-h", "s-7-i", "s-7-j"]
     assert got["s-6"].text == "" and got["s-6-1"].text == "The consent" and got["s-7-i"].kind == "Clause" and got["s-6-1-b-i"].kind == "SubClause"
     assert got["ch-II"].text == "DUTIES" and got["s-7"].chapter == "ch-II" and got["s-6-2-ill1"].follows == "s-6-2"
-    option = [("Clause", "i", ""), ("SubClause", "i", "")]
-    assert parse.disambiguate(option, [], 2)[0] == "SubClause"
-    assert parse.disambiguate([("Clause", "v", ""), ("SubClause", "v", "")], [], 2)[0] == "Clause"
+    both = ["Clause", "SubClause"]
+    assert parse.kind_of(both, "i", None, False) == "SubClause" and parse.kind_of(both, "v", None, False) == "Clause"
+    assert parse.kind_of(both, "i", "Clause", False) == "Clause" and parse.kind_of(both, "v", "SubClause", False) == "SubClause"
     assert validate.round_trip(nodes, lines).first().same
     assert validate.problems(nodes.withColumn("headnote", F.lit("h")), lines, {"Section": 2}, 0) == []
     assert validate.orphans(nodes).count() == 0
 
 
+def test_parser_items_and_odd_lines(spark):
+    texts = [(0, "Whereas"), (1, None), (1, "1. One"), (0, "Illustrations."), (2, "(A) first"), (2, "goes on"), (2, "(B) second"), (2, "(a) clause"), (4, "(C) item"), (0, "CHAPTER I"), (0, "CHAPTER I"), (1, "(2)"), (0, "")]
+    lines = spark.createDataFrame([("d", i, 1, float(i), 0.0, indent, t) for i, (indent, t) in enumerate(texts)], io.SCHEMAS["lines"])
+    got = {r.node_id: r for r in parse.parse(lines).collect()}
+    assert [(r.node_id, r.parent_id, r.text) for r in got.values()] == [
+        ("act", None, ""), ("preamble", "act", "Whereas"), ("s-1", "act", "One"), ("s-1-ill1", "s-1", ""), ("s-1-ill1-A", "s-1-ill1", "first goes on"),
+        ("s-1-ill1-B", "s-1-ill1", "second"), ("s-1-a", "s-1", "clause"), ("s-1-a-C", "s-1-a", "item"), ("ch-I", "act", "CHAPTER I (2)")]
+    assert got["s-1-a-C"].kind == "Item" and got["s-1-ill1"].follows == "s-1" and got["ch-I"].chapter == "ch-I"
+    assert parse.parse(lines.limit(0)).count() == 0
+
+
 def test_expansion_is_capped(spark):
     adj = spark.createDataFrame([("a", f"t{i:02}", "REFERENCES", 2, i, 0.0) for i in range(12)] + [("t00", "z", "REFERENCES", 2, 99, 0.0)], "chunk_id string, target string, type string, prio int, edge_seq int, authority double")
     seeds = spark.createDataFrame([(1, "a", 1)], "query_id int, chunk_id string, pos int")
