@@ -17,18 +17,25 @@ def upsert_edges(edges: DataFrame, keys: tuple[str, ...] = ("src", "dst", "type"
     return last.select(*keys, "last.*")
 
 
-def closure(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", rounds: int = 8) -> DataFrame:
-    """node_id, anc_id, depth for each node and each ancestor or itself. Distances double, so ``rounds`` joins reach
-    depth 2^rounds; it ends as soon as nothing is left to follow."""
-    up = nodes.select(F.col(node).alias("node_id"), F.col(parent).alias("anc_id"), F.lit(1).alias("depth")).where("anc_id IS NOT NULL")
-    found = nodes.select(F.col(node).alias("node_id"), F.col(node).alias("anc_id"), F.lit(0).alias("depth"))
-    reach = up
-    for _ in range(rounds):
-        found = found.unionByName(found.alias("f").join(reach.alias("r"), F.col("f.anc_id") == F.col("r.node_id")).select(F.col("f.node_id"), F.col("r.anc_id"), (F.col("f.depth") + F.col("r.depth")).alias("depth")))
-        reach = reach.alias("a").join(reach.alias("b"), F.col("a.anc_id") == F.col("b.node_id")).select(F.col("a.node_id"), F.col("b.anc_id"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed where a folder is set (which also cuts lineage), else persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def closure(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id") -> DataFrame:
+    """node_id, anc_id, depth for each node and each ancestor or itself. Distances double from round to round, until
+    nothing is left to follow, so any depth is reached. Parents that form a circle raise ValueError."""
+    own, above = F.col(node).alias("node_id"), F.col(parent).alias("anc_id")
+    reach = nodes.select(own, above, F.lit(1).alias("depth")).where("anc_id IS NOT NULL")
+    found = nodes.select(own, F.col(node).alias("anc_id"), F.lit(0).alias("depth"))
+    step = lambda left, right: left.alias("l").join(right.alias("r"), F.col("l.anc_id") == F.col("r.node_id")).select("l.node_id", "r.anc_id", (F.col("l.depth") + F.col("r.depth")).alias("depth"))
+    while True:
+        found = _kept(found.unionByName(step(found, reach)))
+        if not found.where("node_id = anc_id AND depth > 0").isEmpty():
+            raise ValueError("parents form a circle")
+        reach = _kept(step(reach, reach))
         if reach.isEmpty():
-            break
-    return found
+            return found
 
 
 def roll_up(ancestors: DataFrame, targets: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ rerank scores stay in columns of their own; the abstention gate reads the BM25 s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,20 @@ def checked(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+# Endings that a phrase of the vocabulary may carry in a question.
+ENDINGS = ["s", "es", "ed", "ing"]
+
+
 def expand(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     """``questions(query_id, question)``, ``vocab(vocab_seq, phrase, expansions)`` -> adds expanded, hits. All phrases
-    fire, also overlapping ones; longer phrases first; additions keep repeats."""
-    fired = questions.join(F.broadcast(vocab), F.expr(r"lower(question) rlike concat('(?U)\\b\\Q', phrase, '\\E(?:s|es|ed|ing)?\\b')"))
+    fire, also overlapping ones; longer phrases first; additions keep repeats. Questions and phrases meet by the phrase's
+    first word, with or without an ending, so no question is compared with every phrase; phrases without a word never fire."""
+    words = questions.select("query_id", F.explode(F.regexp_extract_all(F.lower("question"), F.lit(r"(?U)(\w+)"), 1)).alias("w")).distinct()
+    bare = [F.when(F.endswith("w", F.lit(e)), F.expr(f"left(w, length(w) - {len(e)})")) for e in ENDINGS]
+    words = words.select("query_id", F.explode(F.array_compact(F.array("w", *bare))).alias("w")).distinct()
+    heads = vocab.select("vocab_seq", "phrase", "expansions", F.regexp_extract("phrase", r"(?U)(\w+)", 1).alias("w")).where("w <> ''")
+    met = questions.select("query_id", "question").join(words.join(heads, "w"), "query_id")
+    fired = met.where(F.expr(r"lower(question) rlike concat('(?U)\\b\\Q', phrase, '\\E(?:s|es|ed|ing)?\\b')"))
     order = F.array_sort(F.collect_list(F.struct((-F.length("phrase")).alias("a"), "vocab_seq", "expansions")))
     added = fired.groupBy("query_id").agg(F.array_join(F.flatten(F.transform(order, lambda x: x["expansions"])), " ").alias("added"), F.array_sort(F.collect_set("phrase")).alias("hits"))
     joined = questions.join(added, "query_id", "left")
@@ -35,7 +47,7 @@ def expand(questions: DataFrame, vocab: DataFrame) -> DataFrame:
 def detect_intents(questions: DataFrame, intents: DataFrame) -> DataFrame:
     """query_id, name: any trigger of ``intents(name, triggers, ...)`` is a substring of the lower-case question."""
     triggers = intents.select("name", F.explode("triggers").alias("trigger"))
-    return questions.join(F.broadcast(triggers), F.lower("question").contains(F.col("trigger"))).select("query_id", "name").distinct()
+    return questions.join(checked(triggers), F.lower("question").contains(F.col("trigger"))).select("query_id", "name").distinct()
 
 
 def bm25(query_tokens: DataFrame, posted: DataFrame, tok_stats: DataFrame, doc_stats: DataFrame, key: str, avgdl: float) -> DataFrame:
@@ -66,9 +78,14 @@ def complete(seeds: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """query_id, key, dense_score (dot product) of each query (few; size checked) against all vectors."""
+    """query_id, key, dense_score (dot product) of each query against all vectors: a stated set of queries, in
+    blocks of SMALL, each of a size proven before it is broadcast."""
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", key, dot.alias("dense_score"))
+    n = queries.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-2 * n // SMALL))))
+    parts = [queries] if n <= SMALL else [checked(queries.where(block == i)) for i in range(-(-2 * n // SMALL))]
+    scored = [vectors.crossJoin(F.broadcast(p) if n <= SMALL else p).select("query_id", key, dot.alias("dense_score")) for p in parts]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def rrf(lists: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:

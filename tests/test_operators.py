@@ -191,3 +191,19 @@ def test_compound_split_and_final_order(spark):
 def test_steps_are_taken_raw_and_rounded_to_points(spark):
     lines = spark.createDataFrame([(1, t) for t in (0.0, 11.6, 23.6, 35.4, 65.3, 71.2)], "page int, top double")
     assert [tuple(r) for r in layout.modal_delta(lines, 6.0, 30.0).collect()] == [(12.0, 3, 4.8)]
+
+
+def test_closure_reaches_any_depth_and_refuses_circles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "node_id int, parent_id int")
+    far = graph.closure(chain)
+    assert far.count() == 40 * 41 // 2 and far.agg(F.max("depth")).first()[0] == 39
+    with pytest.raises(ValueError, match="circle"):
+        graph.closure(spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 1)], "node_id int, parent_id int"))
+
+
+def test_vocabulary_by_first_words(spark):
+    asked = spark.createDataFrame([(1, "Fined for data breaches?"), (2, "breachless"), (3, None), (4, "the data breach and data")], "query_id int, question string")
+    vocab = spark.createDataFrame([(1, "fin", ["a"]), (2, "data breach", ["b", "c"]), (3, "data", ["d"]), (4, "!?", ["e"])], "vocab_seq int, phrase string, expansions array<string>")
+    got = {r.query_id: (r.expanded, r.hits) for r in retrieve.expand(asked, vocab).collect()}
+    assert got[1] == ("Fined for data breaches? b c d a", ["data", "data breach", "fin"])
+    assert got[2] == ("breachless", []) and got[3][1] == [] and got[4] == ("the data breach and data b c d", ["data", "data breach"])
