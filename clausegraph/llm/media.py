@@ -8,7 +8,8 @@ reassembles elementary packets and returns their time stamps and random-access p
 
 Defined results: null text is the empty payload, padded to one unit. Equal texts give equal bytes. Damaged streams:
 packets without sync byte are counted and skipped, a gap of counters is counted, an elementary packet that misses its
-start is dropped. Texts of any length are stored whole. Extra columns are ignored.
+start or whose header is cut short is dropped and counted. Texts of any length are stored whole. Repeated rows give
+repeated rows, an empty table an empty one. Null ids stay null. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from clausegraph.llm.runtime import table
 PACKET, SYNC = 188, 0x47
 BODY = PACKET - 4
 UNIT = 64
-PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x0100, 0x0101
+PAT_PID, PMT_PID, DATA_PID, NO_CLOCK_PID = 0x0000, 0x0100, 0x0101, 0x1FFF
 PROGRAM, PRIVATE_DATA, STREAM_ID = 1, 0x06, 0xBD
 PES_BYTES, KEY_EVERY, TICKS = 16384, 4, 3600
 
@@ -60,7 +61,7 @@ def _table_packet(pid: int, table_id: int, number: int, body: bytes) -> bytes:
 
 
 PAT = _table_packet(PAT_PID, 0x00, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
-PMT = _table_packet(PMT_PID, 0x02, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
+PMT = _table_packet(PMT_PID, 0x02, PROGRAM, (0xE000 | NO_CLOCK_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_DATA]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 
 
 def _stamp(ticks: int) -> bytes:
@@ -99,7 +100,8 @@ def _section(body: bytes) -> bytes | None:
 
 
 def read_stream(data: bytes) -> dict:
-    """payload, programs, pid, packets, bad_sync, gaps, repeats, stamps (ticks), random_access (elementary packet numbers)."""
+    """payload, programs, pid, packets, bad_sync, gaps, repeats, damaged (elementary packets dropped), stamps (ticks),
+    random_access (elementary packet numbers)."""
     grid = np.frombuffer(data, np.uint8, len(data) // PACKET * PACKET).reshape(-1, PACKET)
     bad = int((grid[:, 0] != SYNC).sum()) if len(grid) else 0
     if bad:
@@ -120,7 +122,7 @@ def read_stream(data: bytes) -> dict:
                     pid = int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF
                     streams += [pid] if pid not in streams else []
                     at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0xFFF)
-    out = {"payload": b"", "programs": len(programs), "pid": streams[0] if streams else -1, "packets": len(grid), "bad_sync": bad, "gaps": 0, "repeats": 0, "stamps": [], "random_access": []}
+    out = {"payload": b"", "programs": len(programs), "pid": streams[0] if streams else -1, "packets": len(grid), "bad_sync": bad, "gaps": 0, "repeats": 0, "damaged": 0, "stamps": [], "random_access": []}
     own = grid[pids == out["pid"]]
     if not len(own):
         return out
@@ -139,7 +141,9 @@ def read_stream(data: bytes) -> dict:
     for number, (a, b) in enumerate(zip(starts, np.r_[starts[1:], len(own)], strict=True)):
         block = own[a:b]
         pes = block[columns >= begin[a:b, None]].tobytes()
-        if pes[:3] != b"\x00\x00\x01":
+        head = 9 + pes[8] if len(pes) > 8 else 9
+        if pes[:3] != b"\x00\x00\x01" or len(pes) < head or (pes[7] & 0x80 and head < 14):
+            out["damaged"] += 1
             continue
         size = int.from_bytes(pes[4:6], "big")
         if pes[7] & 0x80:
@@ -147,7 +151,7 @@ def read_stream(data: bytes) -> dict:
             out["stamps"].append((s[0] >> 1 & 7) << 30 | s[1] << 22 | s[2] >> 1 << 15 | s[3] << 7 | s[4] >> 1)
         if key[a]:
             out["random_access"].append(number)
-        parts.append(pes[9 + pes[8] : 6 + size if size else None])
+        parts.append(pes[head : 6 + size if size else None])
     out["payload"] = b"".join(parts)
     return out
 
@@ -181,7 +185,7 @@ def features(stored: DataFrame) -> DataFrame:
                 data = media.as_py()
                 got = read_stream(data)
                 payload, stamps, points = got["payload"], got["stamps"], got["random_access"]
-                text = f"programs={got['programs']} pid={got['pid']} packets={got['packets']} pes={len(stamps)} first_pts={stamps[0] if stamps else -1} last_pts={stamps[-1] if stamps else -1} random_access={len(points)} gaps={got['gaps']} repeats={got['repeats']} bad_sync={got['bad_sync']}"
+                text = f"programs={got['programs']} pid={got['pid']} packets={got['packets']} pes={len(stamps)} first_pts={stamps[0] if stamps else -1} last_pts={stamps[-1] if stamps else -1} random_access={len(points)} gaps={got['gaps']} repeats={got['repeats']} damaged={got['damaged']} bad_sync={got['bad_sync']}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), text, stamps, points))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -194,7 +198,7 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents"))).drop("pts", "random_access")
+    return features(store(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {"op9_transport_stream": op9_transport_stream}

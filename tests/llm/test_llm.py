@@ -215,6 +215,35 @@ def test_streams():
     assert media.read_stream(b"")["payload"] == b""
 
 
+def test_damaged_streams_never_raise():
+    rng = random.Random(3)
+    whole = bytearray(media.write_stream(rng.randbytes(40_000)))
+    for n in range(13):  # the first elementary packet is cut to n bytes
+        short = bytearray(whole[: 188 * 3])
+        short[188 * 2 + 3], short[188 * 2 + 4], short[188 * 2 + 5] = 0x30, 183 - n, 0x40
+        got = media.read_stream(bytes(short))
+        assert got["damaged"] == 1 and got["payload"] == b"" and got["stamps"] == []
+    for _ in range(300):
+        torn = bytearray(whole)
+        for _ in range(rng.randint(1, 40)):
+            torn[rng.randrange(len(torn))] = rng.randrange(256)
+        media.read_stream(bytes(torn[: rng.randrange(len(torn))]))
+
+
+def test_stream_query_matches_brute_force(spark, texts):
+    rows = {r.doc_id: r for r in media.op9_transport_stream(spark, SMALL).collect()}
+    assert rows.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        data = text.encode()
+        payload = data + b"\0" * ((64 - len(data) % 64) % 64 if data else 64)
+        stream = media.write_stream(payload)
+        elementary = (len(payload) + media.PES_BYTES - 1) // media.PES_BYTES
+        r = rows[doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest())
+        assert r.pts == [i * media.TICKS for i in range(elementary)] and r.random_access == list(range(0, elementary, media.KEY_EVERY))
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in htmltext.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
