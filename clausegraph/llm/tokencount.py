@@ -69,7 +69,7 @@ class Cutter:
 
     def cut(self, text: str) -> tuple[int, list[str]]:
         """How many special tokens the text holds, and its pre-tokens."""
-        if self.special and "<" in text and (found := self.special.findall(text)):
+        if self.special and (found := self.special.findall(text)):
             rest = self.special.split(text)
             return len(found), [p for r in rest for p in self.pattern.findall(self.normalize(r))]
         return 0, self.pattern.findall(self.normalize(text))
