@@ -40,12 +40,16 @@ def trim() -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own temporary one where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or an own temporary one where it is unset and
+    driver and executors are one process. On a cluster an unset one is an error."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    root = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="clausegraph-")
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root and not sc._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or tempfile.mkdtemp(prefix="clausegraph-")
     sc.setCheckpointDir(root)
     return sc._jsc.sc().getCheckpointDir().get()
 
