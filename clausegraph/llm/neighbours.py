@@ -2,17 +2,20 @@
 
 1. Equal vectors collapse to one (its TOP + 1 smallest ids are enough for every answer), so copies cost one entry.
 2. Vectors get one more component sqrt(M^2 - |x|^2), queries 0, so that the largest inner product is the nearest
-   point. TREES trees are fitted on a sample of at most about FIT_ROWS distinct vectors (documented bound); a node splits
-   at the median of the projection on the line between two centres grown from random rows.
+   point. TREES trees are fitted on four fifths of a sample of at most about FIT_ROWS distinct vectors (documented bound);
+   a node splits at the median of the projection on the line between two centres grown from random rows.
 3. Every distinct vector is placed in one leaf of each tree. A query walks all trees through one priority queue,
    ordered by the largest margin on the wrong side along the path, until it has taken ``visits`` leaves. ``visits`` is
-   measured when the forest is fitted: the fewest at which sample queries find AIM of their true neighbours.
+   measured on the fifth that the trees have not seen: the fewest at which those queries find AIM of their true
+   neighbours in the sample.
 4. Queries meet the rows of their leaves in a shuffle by leaf; leaves of more than CELL rows are cut into cells. Each
-   task keeps the TOP + 1 best per query, by exact double-precision products of the original vectors.
+   task keeps the TOP + 1 best per query: products of blocks choose them with all that their rounding could hide, and
+   products summed in the order of the components, as in the answer, decide.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ in length from the longest
 common length take no part. A query's own row is no candidate; equal vectors of other rows are. Ties go to the smaller
-vec_id. Fewer candidates than TOP give fewer rows. Extra columns are ignored. vec_id is taken as unique and not null.
+vec_id. Fewer candidates than TOP give fewer rows, an empty table none. Extra columns are ignored. Rows whose vec_id is null or
+no whole number take no part; vec_id is taken as unique.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import cut, table
+from clausegraph.llm.runtime import cut, small, table
 
 TOP, EVERY = 20, 20
 TREES, FIT_ROWS, LEAF = 6, 20_000, 512
 PROBES, AIM = 200, 0.95
 CELL = 4096
-HELD = 300_000
+HELD, PAIRS = 300_000, 50_000
 
 
 class Forest:
@@ -125,9 +128,11 @@ class Forest:
             self._children_of = self.children.tolist()
         return self._children_of
 
-    def calibrate(self, sample: np.ndarray, seed: int = 11) -> None:
-        """Fewest visits that reach AIM on sample queries, against all of the sample."""
-        picked = np.random.default_rng(seed).choice(len(sample), min(PROBES, len(sample)), replace=False)
+    def calibrate(self, sample: np.ndarray, fitted: int, seed: int = 11) -> None:
+        """Fewest visits that reach AIM, against all of the sample, on queries from its rows past the first ``fitted``
+        (from all rows if there are none)."""
+        unseen = np.arange(fitted if fitted < len(sample) else 0, len(sample))
+        picked = np.random.default_rng(seed).choice(unseen, min(PROBES, len(unseen)), replace=False)
         leaf = self.place(sample)
         needed: list[int] = []
         for row, order in zip(picked, self.walk(sample[picked], self.leaves), strict=True):
@@ -148,6 +153,14 @@ def usable(embedding: str = "embedding") -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Row-wise inner products, summed component by component from the first: the very doubles of ``search``'s scores."""
+    total = np.zeros(len(q))
+    for at in range(q.shape[1]):
+        total += q[:, at] * c[:, at]
+    return total
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
@@ -155,7 +168,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     """``embeddings(vec_id, embedding, ...)`` -> query_id, rank, vec_id, score for queries with vec_id % every = 0."""
     spark = embeddings.sparkSession
-    rows = embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(usable("v"))
+    rows = embeddings.select(F.expr("try_cast(vec_id AS bigint)").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
     widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     answer = "query_id long, rank int, vec_id long, score double"
     if widths is None:
@@ -170,8 +183,11 @@ def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFra
     share = min(1.0, FIT_ROWS / n)
     sampled = distinct.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1) if share < 1 else distinct
     sample = np.array(sampled.select("key", "v").orderBy("key").toArrow().column("v").to_pylist(), np.float64).reshape(-1, width)
-    forest = Forest(sample, norm, max(8, int(LEAF * len(sample) / n)))
-    forest.calibrate(sample)
+    sample = np.random.default_rng(5).permutation(sample)
+    fitted = len(sample) - len(sample) // 5
+    forest = Forest(sample[:fitted], norm, max(8, int(LEAF * fitted / n)))
+    forest.calibrate(sample, fitted)
+    doubt = 4 * width * np.finfo(np.float64).eps * norm * norm  # over twice what the order of a sum can change
     shared = spark.sparkContext.broadcast(forest)
 
     def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +227,10 @@ def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(salt, pa.int32()), pa.array(key, pa.int64()), pa.array(data, pa.binary())], names=["leaf", "salt", "key", "data"])
 
     asking = wanted.mapInArrow(route, "leaf long, salt int, key long, data binary").withColumn("kind", F.lit(0))
-    large = {int(i): int(sizes[i]) for i in np.flatnonzero(sizes > 1)}
-    salts = F.lit(1)
-    if large:
-        salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("leaf")), F.lit(1))
-    offered = placed.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).withColumn("kind", F.lit(1))
+    # At most one row a leaf of the fitted sample, like the array above.
+    cut_leaves = spark.createDataFrame([(int(i), int(sizes[i])) for i in np.flatnonzero(sizes > 1)], "leaf long, cells int")
+    offered = placed.join(small(cut_leaves, len(sizes)), "leaf", "left")
+    offered = offered.withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("cells", F.lit(1))).cast("int")).withColumn("kind", F.lit(1))
     columns = ["leaf", "salt", "kind", "key", "data"]
     met = asking.select(columns).unionByName(offered.select(columns)).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind")
 
@@ -251,9 +266,12 @@ def search(embeddings: DataFrame, top: int = TOP, every: int = EVERY) -> DataFra
                 for lo in range(0, len(q_keys), 512):
                     qk, scores = q_keys[lo : lo + 512], q_data[lo : lo + 512] @ data[a:b].T
                     wide = min(top + 1, b - a)
-                    at = np.argpartition(-scores, wide - 1, axis=1)[:, :wide]
-                    found.append((np.repeat(qk, wide), keys[a:b][at].ravel(), np.take_along_axis(scores, at, 1).ravel()))
-                    held += at.size
+                    least = np.partition(scores, b - a - wide, axis=1)[:, b - a - wide]
+                    q_at, c_at = np.nonzero(scores >= least[:, None] - doubt)
+                    for p in range(0, len(q_at), PAIRS):  # many equal scores are many pairs
+                        qs, cs = q_at[p : p + PAIRS], c_at[p : p + PAIRS]
+                        found.append((qk[qs], keys[a:b][cs], product(q_data[lo : lo + 512][qs], data[a:b][cs])))
+                        held += len(qs)
                 if held > HELD:
                     found = [keep(found)]
                     held = len(found[0][0])

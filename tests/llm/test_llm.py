@@ -292,6 +292,41 @@ def test_neighbours(spark):
     assert hits / (20 * len(asked)) >= 0.9
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, score int")
     assert neighbours.search(few).count() == 2 and neighbours.search(few.limit(0)).count() == 0
+    nameless = spark.createDataFrame([("0", [1.0, 2.0]), ("1", [2.0, 1.0]), (None, [3.0, 3.0]), ("x", [4.0, 4.0])], "vec_id string, embedding array<double>")
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(nameless).collect()] == [(0, 1, 1, 4.0)]
+
+
+def test_neighbours_outside_the_fitted_sample(spark, monkeypatch):
+    """Many leaves a tree, cells within leaves, trees fitted on a sixth of the rows."""
+    monkeypatch.setattr(neighbours, "FIT_ROWS", 600)
+    monkeypatch.setattr(neighbours, "LEAF", 100)
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    grown = []
+    monkeypatch.setattr(neighbours.Forest, "calibrate", lambda self, *a, old=neighbours.Forest.calibrate: (old(self, *a), grown.append(self))[0])
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12))
+    points = np.round(centres[rng.integers(0, 40, 3600)] + 0.35 * rng.normal(size=(3600, 12)), 1)  # rounded: many tied scores
+    out = neighbours.search(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")).collect()
+    (forest,) = grown
+    assert forest.leaves >= 12 * neighbours.TREES and forest.visits < forest.leaves
+    exact = {q: neighbours.product(np.broadcast_to(points[q], points.shape), points) for q in range(0, 3600, 20)}
+    hits = 0
+    for q, scores in exact.items():
+        mine = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 21)) and all(scores[m[1]] == m[2] for m in mine)
+        assert [(-m[2], m[1]) for m in mine] == sorted((-m[2], m[1]) for m in mine)
+        order = [int(i) for i in np.lexsort((np.arange(3600), -scores)) if i != q][:20]
+        hits += len(set(order) & {m[1] for m in mine})
+    assert hits / (20 * len(exact)) >= 0.9
+
+
+def test_tied_neighbours_at_the_cut_are_the_smallest_ids(spark):
+    """200 vectors in a few leaves share the product with each query exactly, although blocks may round it otherwise."""
+    rng = np.random.default_rng(9)
+    base = [0.1, 0.2, 0.3, 0.7, 1.1, 0.9]
+    rows = [(0, [*base, 0.0])] + [(i, [*base, float(i)]) for i in rng.permutation(np.arange(1, 200)).tolist()]
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in out] == list(range(1, 21)) and len({r.score for r in out}) == 1
 
 
 def test_pipeline_stages(spark, docs):
