@@ -101,8 +101,8 @@ def rerank(fused: DataFrame, scores: DataFrame, bm25_rank: DataFrame, key: str,
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused_score"), key))
     pooled = fused.withColumn("pool_pos", place).where(F.col("pool_pos") <= pool).join(scores, ["query_id", key])
     rest = bm25_rank.join(pooled.select("query_id", key), ["query_id", key], "left_anti")
-    both = pooled.select("query_id", key, F.lit(0).alias("part"), (-F.col("rerank_score")).alias("by")).unionByName(rest.select("query_id", key, F.lit(1).alias("part"), F.col("rank").cast("double").alias("by")))
-    return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "by", key))).drop("part", "by")
+    both = pooled.select("query_id", key, F.lit(0).alias("_part"), (-F.col("rerank_score")).alias("_by")).unionByName(rest.select("query_id", key, F.lit(1).alias("_part"), F.col("rank").cast("double").alias("_by")))
+    return both.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("_part", "_by", key))).drop("_part", "_by")
 
 
 def promote_parents(seeds: DataFrame, parent_of: DataFrame) -> DataFrame:
