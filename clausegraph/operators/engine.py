@@ -31,7 +31,7 @@ class EngineConfig:
 
 
 class Library:
-    """What questions are asked of: ``chunks(chunk_id, chunk_seq, kind, chapter, header, verbatim, document)`` with their
+    """What questions are asked of: ``chunks(chunk_id, chunk_seq, kind, chapter, label, header, verbatim, document)`` with their
     index, which is made once, and the tables VOCAB, INTENTS, ADJACENCY and PARENTS, empty where not given."""
 
     def __init__(self, chunks: DataFrame, vocab: DataFrame | None = None, intents: DataFrame | None = None, adjacency: DataFrame | None = None, parents: DataFrame | None = None, stems: bool = True):
@@ -89,7 +89,7 @@ def answer(questions: DataFrame, library: Library, config: EngineConfig = Engine
     One row a question; the context is empty where the first block is over the limit or nothing was found."""
     results = search(questions, library, config).persist()
     top = retrieve.abstain(questions, results, config.least_score)
-    shown = results.join(library.chunks.select("chunk_id", F.concat_ws("\n", "header", "verbatim").alias("block")), "chunk_id")
+    shown = results.join(library.chunks.select("chunk_id", retrieve.context_block().alias("block")), "chunk_id")
     context = retrieve.context(shown.withColumnRenamed("place", "pos"), "block", config.context_chars).drop("blocks")
     listed = results.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda r: r["chunk_id"]).alias("retrieved"))
     joined = questions.select("query_id", "question").join(top, "query_id").join(listed, "query_id", "left").join(context, "query_id", "left")

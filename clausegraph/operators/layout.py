@@ -142,9 +142,24 @@ def gutters(spans: list[tuple[float, float]], least: int = 8) -> list[int]:
     return [x for i, x in enumerate(covered) if i == 0 or x - covered[i - 1] - 1 >= least]
 
 
+# The row of column numbers that opens a table, the rule that closes it.
+COLUMN_NUMBERS, RULE = r"\(1\)\s+\(2\)\s+\(3\)", r"[—–-]{2,}"
+
+
+def table_extent(words: pd.DataFrame) -> pd.DataFrame:
+    """The words between the row of column numbers and the next rule. Without such a row the table begins with the page,
+    without a rule it ends with it."""
+    texts = words.sort_values(["row", "x0"], kind="stable").groupby("row", sort=True).text.agg(" ".join)
+    opens = texts.index[texts.str.fullmatch(COLUMN_NUMBERS)]
+    after = opens[0] if len(opens) else -1
+    closes = texts.index[texts.str.fullmatch(RULE) & (texts.index > after)]
+    return words[(words.row > after) & (words.row < closes[0] if len(closes) else True)]
+
+
 def table_rows(words: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one table page (``row``, ``x0``, ``x1``, ``text``): columns by gutters, a new entry where the first
-    column reads ``<number>.``, other cells appended with a blank."""
+    """Rows of one table page (``row``, ``x0``, ``x1``, ``text``): columns by gutters within the table's extent, a new
+    entry where the first column reads ``<number>.``, other cells appended with a blank."""
+    words = table_extent(words)
     if words.empty:
         return pd.DataFrame({"sl_no": [], "breach": [], "penalty": []})
     edges = gutters(list(zip(words.x0, words.x1, strict=True)))

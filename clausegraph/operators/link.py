@@ -67,9 +67,12 @@ def definitions(nodes: DataFrame, home: str = "s-2") -> DataFrame:
 
 def attach_headnotes(sections: DataFrame, blocks: DataFrame, overrides: DataFrame) -> DataFrame:
     """node_id, headnote: each margin block goes to the section of its page that is nearest by ``top`` (ties: earlier
-    section); of several blocks the last stays; overrides win."""
-    pairs = blocks.alias("b").join(sections.alias("s"), F.col("b.page") == F.col("s.page")).select("b.seq", "b.text", "s.node_id", "s.ord", F.abs(F.col("b.top") - F.col("s.top")).alias("gap"))
-    near = pairs.groupBy("seq", "text").agg(F.min_by("node_id", F.struct("gap", "ord")).alias("node_id"))
+    section); of several blocks the last stays; overrides win. Pages are those of one document each where both sides
+    have ``doc_id``."""
+    page = [c for c in ("doc_id", "page") if c in blocks.columns and c in sections.columns]
+    pairs = blocks.select(*page, "seq", "text", "top").join(sections.select(*page, "node_id", "ord", F.col("top").alias("at")), page)
+    pairs = pairs.select(*page, "seq", "text", "node_id", "ord", F.abs(F.col("top") - F.col("at")).alias("gap"))
+    near = pairs.groupBy(*page, "seq", "text").agg(F.min_by("node_id", F.struct("gap", "ord")).alias("node_id"))
     auto = near.groupBy("node_id").agg(F.max_by("text", "seq").alias("auto"))
     fixed = overrides.select("node_id", F.col("text").alias("fixed"))
     joined = sections.select("node_id").join(auto, "node_id", "left").join(fixed, "node_id", "left")

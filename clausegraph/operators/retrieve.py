@@ -132,12 +132,19 @@ def expand_graph(seeds: DataFrame, adj: DataFrame, hops: int = HOPS, cap: int =
     return picked
 
 
+def context_block(label: str = "label", header: str = "header", verbatim: str = "verbatim") -> Column:
+    """A chunk as it stands in a context: its label between marks, its header, a line, its text. Nulls count as empty."""
+    name, head, body = (F.coalesce(F.col(c), F.lit("")) for c in (label, header, verbatim))
+    return F.concat(F.lit("=== "), name, F.lit(" ===\n"), head, F.lit("\n---\n"), body, F.lit("\n"))
+
+
 def context(results: DataFrame, block: str, cap: int = CONTEXT) -> DataFrame:
-    """``results(query_id, pos, <block>)`` -> query_id, context: blocks joined while their running length fits ``cap``."""
+    """``results(query_id, pos, <block>)`` -> query_id, context, blocks: blocks joined up to the first with which their
+    running length would pass ``cap``. A question whose first block is over it has an empty context of no blocks."""
     running = F.sum(F.length(block)).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    fits = results.withColumn("running", running).where(F.col("running") <= cap)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.col(block).alias("b"))))
-    return fits.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n").alias("context"), F.count("*").alias("blocks"))
+    fits = results.withColumn("fits", running <= cap)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("pos", F.col(block).alias("b")))))
+    return fits.groupBy("query_id").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "\n").alias("context"), F.count_if("fits").alias("blocks"))
 
 
 def abstain(queries: DataFrame, results: DataFrame, least: float = ABSTAIN) -> DataFrame:

@@ -120,9 +120,9 @@ def missing_sections(spark, sf_dir):
 
 def retrieve_full(spark, sf_dir):
     """Whole questions through the engine: rewriting, BM25, boosts, order, abstention and context (plain words, no graph)."""
-    docs = read(spark, sf_dir, "documents")
+    docs = read(spark, sf_dir, "documents").withColumn("chunk_label", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
     text = F.coalesce("text", F.lit(""))
-    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), F.col("lang").alias("kind"), F.col("source").alias("chapter"), F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("]")).alias("header"), text.alias("verbatim"), text.alias("document"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), F.col("lang").alias("kind"), F.col("source").alias("chapter"), F.col("chunk_label").alias("label"), F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit("]")).alias("header"), text.alias("verbatim"), text.alias("document"))
     intents = spark.createDataFrame([(*i, False) for i in INTENTS], engine.INTENTS)
     library = engine.Library(chunks, spark.createDataFrame(VOCAB, engine.VOCAB), intents, stems=False)
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
@@ -173,7 +173,7 @@ intents(trig, kind, chapter) AS (VALUES ('sch', 'de', NULL), ('ung', 'de', NULL)
 meant AS (SELECT DISTINCT item_id, kind, chapter FROM benchmark, intents WHERE contains(lower(text), trig)),
 boosted AS (SELECT query_id, doc_id, source, coalesce(text, '') AS t, round(s * CASE WHEN EXISTS (SELECT 1 FROM meant WHERE item_id = query_id AND (kind = lang OR chapter = source)) THEN 1.6 ELSE 1 END, 4) AS score FROM scored JOIN documents USING (doc_id)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM boosted) WHERE pos <= 6 AND score > 0),
-shown AS (SELECT *, '[' || coalesce(source, '') || ']' || chr(10) || t AS block FROM top),
+shown AS (SELECT *, '=== Document ' || doc_id || ' ===' || chr(10) || '[' || coalesce(source, '') || ']' || chr(10) || '---' || chr(10) || t || chr(10) AS block FROM top),
 fit AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY pos) <= 10000 AS fits FROM shown),
 out AS (SELECT query_id, max(score) AS top_score, string_agg(doc_id, ',' ORDER BY pos) AS retrieved, coalesce(string_agg(block, chr(10) ORDER BY pos) FILTER (WHERE fits), '') AS context FROM fit GROUP BY query_id)
 SELECT item_id AS query_id, CASE WHEN retrieved IS NULL THEN 'no_results' WHEN top_score < 150 THEN 'abstained' ELSE 'answered' END AS outcome, coalesce(top_score, 0) AS top_score, coalesce(retrieved, '') AS retrieved, sha256(coalesce(context, '')) AS context_sha256

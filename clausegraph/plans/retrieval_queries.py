@@ -228,8 +228,8 @@ SQL = {
       WHERE d.source = 'src1' AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = f.query_id AND t.doc_id = d.doc_id)""",
     "dense_topk": f"{_CENTROID_SQL} SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS pos FROM scores) WHERE pos <= 10 AND score > 0",
     "rrf_fuse": f"WITH {_BM25_SQL} {_FUSE_SQL} SELECT query_id, doc_id, score, pos FROM fused_top",
-    "context_budget": f"""WITH {_TOP_SQL} running AS (SELECT query_id, pos, text, sum(length(text)) OVER (PARTITION BY query_id ORDER BY pos) AS upto FROM top JOIN documents USING (doc_id)),
-      out AS (SELECT query_id, string_agg(text, chr(10) ORDER BY pos) AS c, count(*) AS blocks FROM running WHERE upto <= 10000 GROUP BY query_id)
+    "context_budget": f"""WITH {_TOP_SQL} running AS (SELECT query_id, pos, text, sum(length(text)) OVER (PARTITION BY query_id ORDER BY pos) <= 10000 AS fits FROM top JOIN documents USING (doc_id)),
+      out AS (SELECT query_id, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE fits), '') AS c, count(*) FILTER (WHERE fits) AS blocks FROM running GROUP BY query_id)
       SELECT query_id, sha256(c) AS context_sha256, length(c)::BIGINT AS n_chars, blocks FROM out""",
     "abstain_gate": f"WITH {_TOP_SQL} best AS (SELECT query_id, max(score) AS t FROM top GROUP BY query_id) SELECT item_id AS query_id, coalesce(t, 0.0) AS top_score, coalesce(t, 0.0) < 150.0 AS abstains FROM benchmark LEFT JOIN best ON item_id = query_id",
     "decompose_merge": f"""WITH {_TOP_SQL} {_FUSE_SQL}, both_ AS (SELECT query_id, doc_id, score, 0 AS sub FROM top UNION ALL SELECT query_id, doc_id, score, 1 FROM fused_top)

@@ -50,7 +50,13 @@ def test_layout(spark):
     assert (stripped.citations, stripped.residue) == (["45 of 1860."], "servants.")
     cells = [("d", 21, 0, 0.0, 10.0, 14.0, "1."), ("d", 21, 0, 0.0, 40.0, 80.0, "Breach"), ("d", 21, 0, 0.0, 120.0, 160.0, "ten"), ("d", 21, 1, 9.0, 40.0, 80.0, "more"), ("d", 21, 1, 9.0, 120.0, 160.0, "rupees"), ("d", 21, 2, 18.0, 10.0, 14.0, "2."), ("d", 21, 2, 18.0, 40.0, 80.0, "Other"), ("d", 21, 2, 18.0, 120.0, 160.0, "one")]
     table = layout.parse_tables(spark.createDataFrame(cells, layout.ROW_SCHEMA))
-    assert [(r.sl_no, r.breach, r.penalty) for r in table.orderBy("sl_no").collect()] == [(1, "Breach more", "ten rupees"), (2, "Other", "one")]
+    want = [(1, "Breach more", "ten rupees"), (2, "Other", "one")]
+    assert [(r.sl_no, r.breach, r.penalty) for r in table.orderBy("sl_no").collect()] == want
+    title = [("d", 21, -2, -18.0, 10.0, 160.0, "9."), ("d", 21, -1, -9.0, 10.0, 14.0, "(1)"), ("d", 21, -1, -9.0, 40.0, 44.0, "(2)"), ("d", 21, -1, -9.0, 120.0, 124.0, "(3)")]
+    below = [("d", 21, 3, 27.0, 10.0, 160.0, "————————"), ("d", 21, 4, 36.0, 40.0, 160.0, "SECRETARY")]
+    shifted = [(d, p, row + 2, *rest) for d, p, row, *rest in title + cells + below]
+    bounded = layout.parse_tables(spark.createDataFrame(shifted, layout.ROW_SCHEMA))
+    assert [(r.sl_no, r.breach, r.penalty) for r in bounded.orderBy("sl_no").collect()] == want
 
 
 def test_parser(spark):
@@ -96,6 +102,8 @@ def test_fusion_context_abstain(spark):
     assert fused["d"] == pytest.approx(1 / 61 + 1 / 62) and fused["d"] == pytest.approx(fused["e"])
     blocks = spark.createDataFrame([(1, 1, "x" * 6000), (1, 2, "y" * 5000), (1, 3, "z" * 1000)], "query_id int, pos int, b string")
     assert retrieve.context(blocks, "b").first().blocks == 1
+    over = retrieve.context(blocks.where("pos = 1"), "b", 10).first()
+    assert (over.query_id, over.context, over.blocks) == (1, "", 0)
     q = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
     got = spark.createDataFrame([(1, 0, 14.9), (2, 0, 15.0)], "query_id int, hop int, bm25_score double")
     assert {r.query_id: r.abstains for r in retrieve.abstain(q, got).collect()} == {1: True, 2: False, 3: True}
