@@ -37,9 +37,10 @@ def rubric_cases(spark, sf_dir):
 def quotes_missing(spark, sf_dir):
     """Each document's answer quotes its first 30 characters and words that it does not hold; every third context is short."""
     docs = read(spark, sf_dir, "documents").where("text IS NOT NULL")
-    answers = docs.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("It says “"), F.substring("text", 1, 30), F.lit("” and \""), F.coalesce("lang", F.lit("")), F.lit(" nothing here\".")).alias("answer"))
-    contexts = docs.select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("context"))
-    return verify.check_quotes(answers, contexts)
+    marked = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    answer = F.concat(F.lit("It says "), marked(F.substring("text", 1, 30)), F.lit(" and "), marked(F.concat(F.coalesce("lang", F.lit("")), F.lit(" nothing here"))), F.lit("."))
+    context = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise(F.col("text"))
+    return verify.missing_quotes(docs.select(F.col("doc_id").alias("query_id"), answer.alias("answer"), context.alias("context")))
 
 
 def amounts_missing(spark, sf_dir):

@@ -24,3 +24,21 @@ def test_against_sql(spark, name):
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     assert rows_of(registry.QUERIES[name](spark, SMALL).toPandas()) == rows_of(con.sql(registry.SQL[name]).df())
+
+
+ODD = ['token = "a448b066" and more of it', 'he “said” “ "" \'so\' and went on”', '"', '""""', "", " ", "\u00a0 Ends in\u3000", "a\x0bb\x0b c d e f g h", "ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣ ΟΔΟΣΟΔΟΣ", "İstanbul ve İzmir  \t\n ŞEHİR", "back\\slash \\\" quoted", None, "plain words that are long enough to be cut", "“”", "x" * 50]
+
+
+def odd_documents(tmp_path, spark):
+    """Odd texts under their own, a shared and a null id."""
+    rows = [(i if n == 0 else None if n == 1 else 7, t, "en" if i % 2 else None, "s", len(t or "")) for n in range(3) for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    return con
+
+
+def test_quotes_missing_on_odd_texts_against_sql(spark, tmp_path):
+    con = odd_documents(tmp_path, spark)
+    got, want = registry.QUERIES["quotes_missing"](spark, str(tmp_path)).collect(), con.sql(registry.SQL["quotes_missing"]).fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

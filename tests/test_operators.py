@@ -137,6 +137,12 @@ def test_claims_quotes_amounts(spark):
     assert verify.check_amounts(money, texts.withColumn("text", F.lit("ten rupees"))).count() == 1
 
 
+def test_quoted_spans_keep_the_other_marks(spark):
+    said = 'A “token = "73” B "en nothing here" C "say ""yes"" “now”" D “mixed" E'
+    got = spark.createDataFrame([(said,)], "answer string").select(verify.quoted(F.col("answer")).alias("q")).first().q
+    assert got == ['token = "73', "en nothing here", 'say "yes" “now”', "mixed"]
+
+
 def test_links(spark):
     nodes = spark.createDataFrame([("s-2-a", "s-2", "“processing” in relation to personal data, means work"), ("s-3", None, "the processing of data"), ("s-8-5", "s-8", "protect")], "node_id string, parent_id string, text string")
     d = link.definitions(nodes).first()
