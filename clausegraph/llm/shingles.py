@@ -8,6 +8,8 @@
    Shingles that a sample finds often come last in the order; this saves candidates and never changes results.
 4. Each text of a key is first compared with a few of its key (stars), so that dense groups of near copies cost one link a
    member. Then all pairs of a key that are not yet in one class are candidates, if sizes and places allow 4/5 at all.
+   In keys of many texts, sketches of all keys of both texts must allow it too, and one key stands for a pair where it can
+   (as in MinHash), so that a large group costs a few rows for each pair that is compared, not one for each key and pair.
 5. Candidates that share too few keys for 4/5 fall away: beyond the prefixes, no more can be shared than the larger rest.
    Of the others, one is a link only if the whole sets have the similarity. Classes are the components of the links.
 
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.runtime import cut, small, stage
-from clausegraph.llm.simhash import SEED, components, fingerprints, near_classes
+from clausegraph.llm.simhash import SEED, components_at_once, fingerprints, near_classes
 
 #: Texts whose node is divisible by SAMPLE are the sample; a shingle of OFTEN of them comes last in the order.
 SAMPLE, OFTEN, MOST_OFTEN = 20, 5, 500_000
@@ -35,6 +37,9 @@ SAMPLE, OFTEN, MOST_OFTEN = 20, 5, 500_000
 NEAR_BITS = 6
 #: Texts of a key with which the first pass compares the others: those of the highest degree.
 STARS = 4
+#: Keys of MANY texts are large: their rows bring a sketch of all keys of the text (64 * SKETCH bits) and the smallest large
+#: key of each of LEAST parts of the keys. A pair of large keys counts ALL times.
+MANY, SKETCH, LEAST, ALL = 16, 8, 4, 1 << 30
 #: Rows of an Arrow batch that a task hands on; rows that a task gathers before it looks at complete groups.
 ROWS, HELD = 1 << 19, 1 << 17
 
@@ -136,6 +141,23 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _common(a: np.ndarray, b: np.ndarray, size: np.ndarray, most: np.ndarray, sketch: list[np.ndarray]) -> np.ndarray:
+    """Whether sets can have 4/5 by the keys that they share: each key turns one bit of its text's sketch over, so no more
+    bits differ than keys are in one text only."""
+    rest = -(4 * -size.astype(np.int64) // 5) - 1
+    shared = ((most - rest)[a] + (most - rest)[b] - sum(np.bitwise_count((x[a] ^ x[b]).view(np.uint64)).astype(np.int64) for x in sketch)) // 2
+    return near(size[a].astype(np.int64) + size[b], shared + np.maximum(rest[a], rest[b]))
+
+
+def _elsewhere(a: np.ndarray, b: np.ndarray, key: np.ndarray, least: list[np.ndarray]) -> np.ndarray:
+    """Whether another large key stands for the pair: of the smallest ones that are the same, the smallest does. If none is,
+    every common key stands for it."""
+    same = np.full(len(a), NONE)
+    for x in least:
+        same = np.minimum(same, np.where(x[a] == x[b], x[a], NONE))
+    return (same != NONE) & (same != key[a])
+
+
 def _possible(a: np.ndarray, b: np.ndarray, size: np.ndarray, place: np.ndarray, end: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether sets that share the shingle at these places can have 4/5: by sizes, by what is left on both sides, by
     ``most`` of the set whose prefix ends first (all that its prefix shares is in both prefixes), and by how many keys of
@@ -159,13 +181,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """Different pairs (a, b) with their sizes, and how often each was met."""
-    a, b, size_a, size_b = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Different pairs (a, b) with their sizes, and how often each was met; a fifth column has how often a row counts."""
+    a, b, size_a, size_b, *times = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((b, a))
-    a, b, size_a, size_b = (x[order] for x in (a, b, size_a, size_b))
+    a, b, size_a, size_b, *times = (x[order] for x in (a, b, size_a, size_b, *times))
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    times = np.diff(np.r_[first, len(a)])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], size_a[first], size_b[first], times)], names=["a", "b", "size_a", "size_b", "n"])
+    n = np.add.reduceat(times[0], first) if times else np.diff(np.r_[first, len(a)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], size_a[first], size_b[first], n)], names=["a", "b", "size_a", "size_b", "n"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,17 +217,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Possible pairs of a key between different classes, a > b; in order of size, so that a text meets only those of a
-    size that allows 4/5."""
-    for key, node, size, place, end, head, most in _whole_groups(batches, ["key", "node", "size", "place", "end", "head", "most"]):
+    size that allows 4/5. Large keys give a pair once where they can, if sketches allow it; it is then compared whole."""
+    for key, node, size, place, end, head, most, texts, *more in _whole_groups(batches, ["key", "node", "size", "place", "end", "head", "most", "texts", *SKETCHES, *LEASTS]):
         fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
         if not len(first):
             continue
         mixed = np.minimum.reduceat(head, first) != np.maximum.reduceat(head, first)
         mixed = mixed[np.cumsum(fresh) - 1]
-        key, node, size, place, end, head, most = (x[mixed] for x in (key, node, size, place, end, head, most))
-        order = np.lexsort((size, key))
-        key, node, size, place, end, head, most = (x[order] for x in (key, node, size, place, end, head, most))
+        order = np.flatnonzero(mixed)
+        order = order[np.lexsort((size[order], key[order]))]
+        key, node, size, place, end, head, most, texts, *more = (x[order] for x in (key, node, size, place, end, head, most, texts, *more))
+        sketch, least = more[:SKETCH], more[SKETCH:]
         at, away, held, rows = np.arange(len(key)), 1, [], 0
         while len(at := at[at + away < len(key)]) and len(at := at[(key[at + away] == key[at]) & (4 * size[at + away].astype(np.int64) <= 5 * size[at].astype(np.int64))]):
             a, b = at, at + away
@@ -214,9 +237,13 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = a[keep], b[keep]
             keep = _possible(a, b, size, place, end, most)
             a, b = a[keep], b[keep]
+            keep = _common(a, b, size, most, sketch)
+            a, b = a[keep], b[keep]
+            keep = ~_elsewhere(a, b, key, least)
+            a, b = a[keep], b[keep]
             swap = node[a] < node[b]
             a, b = np.where(swap, b, a), np.where(swap, a, b)
-            held.append([node[a], node[b], size[a], size[b]])
+            held.append([node[a], node[b], size[a], size[b], np.where(texts[a] >= MANY, ALL, 1)])
             rows += len(a)
             if rows > ROWS:
                 yield _counted(held)
@@ -225,6 +252,20 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _counted(held)
 
 
+SKETCHES, LEASTS = [f"s{i}" for i in range(SKETCH)], [f"k{i}" for i in range(LEAST)]
+NONE = np.iinfo(np.int64).max
+
+
+def _sketch() -> list[Column]:
+    """Aggregates: SKETCH longs, of which a key turns one bit over, and the smallest large key of each part."""
+    at, zero = F.xxhash64("key"), F.lit(0).cast("long")
+    word, bit = F.shiftrightunsigned(at, 6).bitwiseAND(SKETCH - 1), at.bitwiseAND(63).cast("int")
+    bits = [F.bit_xor(F.when(word == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit)).otherwise(zero)) for i in range(SKETCH)]
+    part = F.pmod(F.shiftrightunsigned(at, 32), F.lit(LEAST))
+    least = [F.coalesce(F.min(F.when((part == i) & (F.col("texts") >= MANY), F.col("key"))), F.lit(int(NONE))) for i in range(LEAST)]
+    return [c.alias(n) for c, n in zip([*bits, *least], [*SKETCHES, *LEASTS], strict=True)]
+
+
 def _prefix(size: Column) -> Column:
     return size - F.ceil(size * 4 / 5) + 1
 
@@ -279,7 +320,7 @@ def proposals(texts: DataFrame, words_per_shingle: int) -> DataFrame:
     """Links (a, b) from each text to one text of its SimHash class."""
     prints = cut(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), words_per_shingle))
     distinct = cut(prints.select("fp").distinct())
-    classed = cut(prints.join(near_classes(distinct, distinct.count(), NEAR_BITS), "fp").select(F.col("doc_id").alias("a"), "head"))
+    classed = cut(prints.join(near_classes(distinct, distinct.count(), NEAR_BITS, components_at_once), "fp").select(F.col("doc_id").alias("a"), "head"))
     first = classed.groupBy("head").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
     return cut(classed.join(first, "head").where("a <> b").select("a", "b"))
 
@@ -298,16 +339,18 @@ def links(texts: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     # Keys that no other prefix has cannot be shared with a text whose prefix ends later: ``most`` is what is left.
     # A text whose keys many others have is the likely source of its copies, and so a star. Pairs with it are tested if
     # it is the star of half the keys that near texts share; other pairs are left to the last step.
-    own = shared.groupBy("node").agg(F.sum("texts").alias("degree"), F.first("size").alias("size"), F.count("*").alias("n"))
-    own = own.withColumn("most", F.col("size") - _prefix(F.col("size")) + F.col("n")).select("node", "degree", "most")
+    own = shared.groupBy("node").agg(F.sum("texts").alias("degree"), F.first("size").alias("size"), F.count("*").alias("n"), *_sketch())
+    own = own.withColumn("most", F.col("size") - _prefix(F.col("size")) + F.col("n")).select("node", "degree", "most", *SKETCHES, *LEASTS)
     own = cut(own.join(found.select(F.col("a").alias("node"), F.col("b").alias("head")), "node", "left").withColumn("head", F.coalesce("head", "node")))
     stars = shared.join(own, "node").select("key", "node", "size", "place", "end", "head", "degree", "most").repartition("key").sortWithinPartitions("key").mapInArrow(_stars, pairs)
     tested = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     stars = cut(_enough(stars, 2).join(tested, ["a", "b"], "left_anti"))
     found, tested = found.unionByName(verified(stars, texts, words_per_shingle)), tested.unionByName(stars)
-    known = cut(components(found)).withColumnRenamed("node", "member")
-    own = cut(own.drop("head").join(known, own["node"] == known["member"], "left").select("node", "most", F.coalesce("head", "node").alias("head")))
-    classed = shared.join(own, "node").select("key", "node", "size", "place", "end", "head", "most")
+    known = cut(components_at_once(found)).withColumnRenamed("node", "member")
+    own = cut(own.drop("head").join(known, own["node"] == known["member"], "left").select("node", "most", F.coalesce("head", "node").alias("head"), *SKETCHES, *LEASTS))
+    # A small key makes few pairs, and the same number in all rows is small.
+    large = [F.when(F.col("texts") >= MANY, F.col(c)).otherwise(F.lit(int(NONE))).alias(c) for c in [*SKETCHES, *LEASTS]]
+    classed = shared.join(own, "node").select("key", "node", "size", "place", "end", "head", "most", "texts", *large)
     rest = classed.repartition("key").sortWithinPartitions("key").mapInArrow(_rest, pairs)
     rest = cut(_enough(rest, 1).join(tested, ["a", "b"], "left_anti"))
     return found.unionByName(verified(rest, texts, words_per_shingle))
@@ -318,4 +361,4 @@ def classes(rows: DataFrame, words_per_shingle: int = 5) -> DataFrame:
     ones = rows.groupBy("node").agg(F.min("row").alias("one"))
     again = cut(rows.select("node", "row").join(ones, "node").where("row <> one").select("row"))
     texts = rows.join(small(again, again.count()), "row", "left_anti").select("node", "text")
-    return components(links(texts, words_per_shingle))
+    return components_at_once(links(texts, words_per_shingle))

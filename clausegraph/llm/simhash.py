@@ -23,7 +23,7 @@ Extra columns are ignored; texts of any length are hashed whole; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm.runtime import cut, table
+from clausegraph.llm.runtime import BROADCAST_ROWS, cut, table
 
 BITS, SEED = 64, 42
 FAN = 16
@@ -308,11 +308,26 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("head")).withColumnRenamed("a", "node")
 
 
-def near_classes(distinct: DataFrame, n: int, k: int) -> DataFrame:
-    """``distinct(fp)`` of ``n`` rows -> fp, head (one fingerprint of the class)."""
+def components_at_once(edges: DataFrame) -> DataFrame:
+    """``components``, without rounds where the driver can hold the edges: a round's many small files take more disk than
+    so few rows."""
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.count() > BROADCAST_ROWS:
+        return components(edges)
+    found = edges.toArrow()
+    a, b = (found.column(c).to_numpy() for c in ("a", "b"))
+    nodes, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    _union(parent, of[: len(a)], of[len(a) :])
+    other = np.flatnonzero(parent != np.arange(len(nodes)))
+    return edges.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes[other], pa.int64()), "head": pa.array(nodes[parent[other]], pa.int64())}))
+
+
+def near_classes(distinct: DataFrame, n: int, k: int, settle: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+    """``distinct(fp)`` of ``n`` rows -> fp, head (one fingerprint of the class); ``settle`` gives the classes of edges."""
     known = distinct.select("fp", F.col("fp").alias("head"))
     for keys in waves(routing_keys(blocks_for(n, k), k)):
-        found = cut(components(near_edges(known, keys, k))).withColumnRenamed("head", "joined")
+        found = cut(settle(near_edges(known, keys, k))).withColumnRenamed("head", "joined")
         known = cut(known.join(found, known["head"] == found["node"], "left").select("fp", F.coalesce("joined", "head").alias("head")))
     return known
 

@@ -131,3 +131,21 @@ def test_columns_with_clashing_names_are_kept(spark, number):
     assert out.schema.names == frame.schema.names
     found = out.collect()
     assert found and all({r[n] for n in names} == {-7.0 - r.doc_id} for r in found)
+
+
+@pytest.mark.parametrize("many", [2, 6])
+def test_classes_match_brute_force_with_large_keys(spark, monkeypatch, many):
+    monkeypatch.setattr(shingles, "MANY", many)
+    test_classes_match_brute_force(spark, monkeypatch, 1, 8)
+
+
+def test_large_keys_give_each_pair_once():
+    """Twenty texts of one size share thirty keys and no class; each key is a task of its own."""
+    keys, nodes = np.sort(np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 30)), np.arange(20)
+    same = {"size": np.full(20, 100, np.int32), "end": np.zeros(20, np.int64), "head": nodes, "most": np.full(20, 109), "texts": np.full(20, 20)}
+    same |= {f"s{i}": np.zeros(20, np.int64) for i in range(8)} | {f"k{i}": np.full(20, keys[4 * i]) for i in range(4)}
+    found = []
+    for place, key in enumerate(keys):
+        batch = pa.RecordBatch.from_pydict({"key": np.full(20, key), "node": nodes, "place": np.full(20, place % 20, np.int32), **same})
+        found += [(a, b) for part in shingles._rest(iter([batch])) for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist(), strict=True)]
+    assert sorted(found) == [(a, b) for a in range(20) for b in range(a)]
